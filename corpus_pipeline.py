@@ -1,12 +1,63 @@
-"""A corpus pipeline over the operators of motrac.llm, stage by stage."""
+"""A corpus pipeline over the operators of motrac.llm, stage by stage.
+
+Documents that the quality classifier rejects go, then toxic ones, then exact
+copies but the one with the smallest doc_id, then all but one of each group of
+near copies; what stays is packed in sequences. Each stage sees all that its
+predecessor kept, and all but the last return the columns of documents.
+
+A row with a null doc_id is judged by its text like any other. Where rows repeat
+a doc_id within a group of copies, one of them stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from motrac.llm import dedup, packing, quality, simhash, toxicity
 from motrac.llm.common import materialize, table
 
-STAGES: list = []
+
+def _only(docs: DataFrame, kept: DataFrame, key: list) -> DataFrame:
+    """The rows of docs whose key is in kept; where kept has a key twice, one row of each key.
+
+    key: pairs of a column of docs and a column of kept.
+    """
+    names = [f"_key{i}" for i in range(len(key))]
+    kept = materialize(kept.select(*[b.alias(n) for n, (_, b) in zip(names, key)]).groupBy(*names).agg(F.count("*").alias("_rows")), "kept")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[a.alias(f"_own{i}") for i, (a, _) in enumerate(key)])
+    on = [F.col(f"_own{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names)]
+    out = keyed.join(kept, on, "left_semi")
+    if kept.where("_rows > 1").head(1):
+        out = out.dropDuplicates([f"_own{i}" for i in range(len(key))])
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.filter_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.filter_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = dedup.exact_duplicates(docs).where("kept")
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    return _only(docs, kept, [(F.col("doc_id").cast("long"), F.col("doc_id")), (digest, F.col("text_sha256"))])
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _only(docs, kept, [(F.col("doc_id").cast("long"), F.col("doc_id"))])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(docs)
+
+
+STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("packing", pack)]
+#: Two classifiers, SimHash and a tokenizer are not SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -16,5 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}-{name}")
+            docs = materialize(docs, f"stage-{k}-{name.replace(' ', '-')}")
     return docs

@@ -212,7 +212,7 @@ def read_planes(index: DataFrame) -> DataFrame:
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = index.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    files = index.select("shard", "path").repartition("shard")
+    files = index.select("shard", "path").repartition(max(1, index.count()), "shard")
     return files.mapInArrow(run, READ_SCHEMA).join(bases, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

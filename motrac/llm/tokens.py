@@ -44,7 +44,7 @@ class ChunkEncoder:
     reached the memory is emptied and fills again, which changes no result.
     """
 
-    def __init__(self, path: str, max_entries: int = 800_000):
+    def __init__(self, path: str, max_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -112,7 +112,7 @@ class ChunkEncoder:
         return [int(i) for _, _, ids, _ in self.encode_array(pa.array([text], pa.string())) for i in ids]
 
 
-def encoder(path: str, max_entries: int = 800_000) -> ChunkEncoder:
+def encoder(path: str, max_entries: int = 400_000) -> ChunkEncoder:
     """The Python worker's encoder, kept from task to task."""
     key = (path, max_entries)
     if key not in _WORKER:
