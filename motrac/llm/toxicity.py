@@ -4,7 +4,7 @@ Features are the words of a text and the first 3 to 6 letters of longer ones,
 with the logarithm of their counts as values. Those that toxic and other texts
 of a bounded labelled sample share unequally are kept. Labels say only whether a
 text is toxic; a toxic text's grade, 1 to GRADES, is the third that it falls in
-by how much of it is words that only toxic texts have. One weight per feature
+by how many words it has that only toxic texts have. One weight per feature
 serves all thresholds: P(grade <= k) = logistic(theta_k - w x), thetas ascending.
 The result is the expected grade, and a text is toxic if grade 1 or more is
 likelier than not.
@@ -85,7 +85,7 @@ class ToxicityModel:
         return above.sum(1), above[:, 0]
 
 
-def fit_ordinal(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 0.5, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 0.1, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending thresholds of the proportional-odds model, by gradient steps with momentum of both kinds.
 
     The penalty on weights is l2 against the summed likelihood of all rows.
@@ -147,14 +147,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
 
     def vectors(batches):
         for batch in batches:
-            for y, (c, n) in zip(batch.column("y").to_pylist(), _counted(batch.column("text"), chosen)):
-                share = sum(k for f, k in c.items() if f in marked) / max(1, n)
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([share]), pa.array([list(c)], pa.list_(pa.int32())), pa.array([list(c.values())], pa.list_(pa.int32()))], names=["y", "share", "f", "k"])
-
-    rows = own.mapInArrow(vectors, "y int, share double, f array<int>, k array<int>").limit(2 * (max_toxic + max_clean)).collect()
-    rows.sort(key=lambda r: (r["y"], r["share"], sorted(zip(r["f"], r["k"]))))
-    cuts = np.quantile([r["share"] for r in rows if r["y"]] or [0.0], [k / GRADES for k in range(1, GRADES)])
-    grade = np.array([1 + int(np.searchsorted(cuts, r["share"], side="right")) if r["y"] else 0 for r in rows])
+            for y, (c, _) in zip(batch.column("y").to_pylist(), _counted(batch.column("text"), chosen)):
+                hits = float(sum(k for f, k in c.items() if f in marked))
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([hits]), pa.array([list(c)], pa.list_(pa.int32())), pa.array([list(c.values())], pa.list_(pa.int32()))], names=["y", "hits", "f", "k"])
+
+    rows = own.mapInArrow(vectors, "y int, hits double, f array<int>, k array<int>").limit(2 * (max_toxic + max_clean)).collect()
+    rows.sort(key=lambda r: (r["y"], r["hits"], sorted(zip(r["f"], r["k"]))))
+    cuts = np.quantile([r["hits"] for r in rows if r["y"]] or [0.0], [k / GRADES for k in range(1, GRADES)])
+    grade = np.array([1 + int(np.searchsorted(cuts, r["hits"], side="right")) if r["y"] else 0 for r in rows])
     doc = np.repeat(np.arange(len(rows)), np.array([len(r["f"]) for r in rows], np.int64))
     feature = np.array([f for r in rows for f in r["f"]], np.int64)
     value = np.log1p(np.array([k for r in rows for k in r["k"]], float))
