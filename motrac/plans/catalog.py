@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from motrac.plans import cell_queries, lineage_queries, markov_queries, motion_queries, numeric_queries, stats_queries
+
+MODULES = (lineage_queries, motion_queries, cell_queries, markov_queries, stats_queries, numeric_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
