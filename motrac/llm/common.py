@@ -1,50 +1,13 @@
-"""Scratch tables, table loading and small helpers that the operators share."""
+"""Table loading and small helpers that the operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motrac.sources.scratch import materialize, scratch_path
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where that is unset, a local master gets a folder of its own; a cluster
-    has to name one, as a machine's own folder is not visible to the others.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not (sc.master == "local" or sc.master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="motrac-scratch-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{scratch_root(spark)}/motrac-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts the lineage.
-
-    Unlike a cached or locally checkpointed frame, the copy outlives executors.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["chunk_codes", "documents", "materialize", "scratch_path", "table", "text_blocks", "windows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

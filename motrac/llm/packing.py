@@ -27,8 +27,8 @@ from motrac.llm.common import documents, materialize
 from motrac.llm.tokens import default_path, encoder, with_end
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces that one partition packs at a time.
-PARTITION_PIECES = 4096
+#: Pieces that one partition packs in the first round; four times as many in each later one, up to the most.
+PARTITION_PIECES, MOST_PIECES = 4096, 1 << 18
 MAX_ROUNDS = 8
 
 
@@ -141,8 +141,8 @@ def pack(items: DataFrame, capacity: int = 4096, partition_pieces: int = PARTITI
     """Place rows with a length of 1..capacity in sequences: adds sequence_id and offset.
 
     Each round is written to the shared folder. A round deals whole unfilled
-    bins to partitions, a few at least per round until one partition packs the rest;
-    no partition gets more than about partition_pieces rows.
+    bins to partitions that are larger each time, until one of them packs the
+    rest; none gets more than about MOST_PIECES rows.
     """
     cols = items.columns
     pool = materialize(items.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
@@ -151,7 +151,7 @@ def pack(items: DataFrame, capacity: int = 4096, partition_pieces: int = PARTITI
     done: list[DataFrame] = []
     rows = pool.count()
     for rnd in range(MAX_ROUNDS):
-        parts = max(1, -(-rows // partition_pieces))
+        parts = max(1, -(-rows // min(partition_pieces << 2 * rnd, max(partition_pieces, MOST_PIECES))))
         dealt = pool.withColumn("_part", _deal(rnd, parts, "_uid" if rnd == 0 else "sequence_id"))
         last = parts == 1 or rnd == MAX_ROUNDS - 1
         one = _packer([*cols, "_uid"], capacity, rnd, last)

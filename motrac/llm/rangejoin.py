@@ -4,8 +4,10 @@ Vectors of unit length within a cosine are within a chord of each other. Each
 distinct vector belongs to the cell of its nearest pivot. By the triangle
 inequality a vector can only be within the chord eps of some vector of another
 cell if it is at most 2 eps farther from that cell's pivot than from its own, and
-at most eps outside that cell's radius; there it is replicated, to the cell with
-the smaller number of the two, so each pair meets once. Cells join independently.
+at most eps outside that cell's radius; there it is replicated. Of two cells it
+is the smaller number that gets the other's vectors if their sum is even, else
+the larger, so each pair meets once and no cell gets all visitors. Cells join
+independently.
 A large cell is divided in blocks, and its vectors go to each later block.
 
 Vectors are screened in single precision with a margin that covers its error and
@@ -28,7 +30,7 @@ from motrac.llm.common import materialize
 from motrac.llm.components import components, union
 
 #: Own vectors that one block of a cell holds, and the most pivots.
-BLOCK = 2048
+BLOCK = 8192
 MAX_PIVOTS = 4096
 
 
@@ -60,7 +62,8 @@ def _deal(pivots: np.ndarray, radius: np.ndarray | None, blocks: dict[int, int],
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(near)], names=["cell", "d"])
                     continue
                 may = (d <= near[:, None] + 2 * eps + slack) & (d <= radius[None, :] + eps + slack)
-                may &= np.arange(len(pivots))[None, :] < own[:, None]
+                cells = np.arange(len(pivots))[None, :]
+                may &= (cells != own[:, None]) & ((cells < own[:, None]) == ((cells + own[:, None]) % 2 == 0))
                 rep = cols[0].slice(i, len(x)).to_numpy()
                 salt = (rep.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
                 who, cell, block, role = [], [], [], []

@@ -167,7 +167,7 @@ def test_range_join(spark, monkeypatch):
     rows += [(700, None), (701, []), (702, [0.0] * 6), (703, [1.0, None, 2.0, 3.0, 4.0, 5.0]), (704, [float("nan")] * 6), (705, [float("inf")] + [1.0] * 5), (706, [1.0, 2.0]), (707, [1.0, 2.0]), (708, [-0.0, 1.0]), (709, [0.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     want = _vectors_expected(rows)
-    for block in (2048, 32):
+    for block in (8192, 32):
         monkeypatch.setattr(rangejoin, "BLOCK", block)
         got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rangejoin.near_vectors(table).collect())
         assert got == want
