@@ -3,8 +3,8 @@
 Documents are cut only where they exceed the capacity. The pieces are dealt to
 partitions of bounded size, each packed by best-fit decreasing. A lower bound
 from dual-feasible functions certifies a partition whose number of bins equals
-it. A partition with a gap exchanges the documents of its unfilled bins with
-others; a certified one gives only its emptiest bin, as its bound rounds up.
+it. Partitions with a gap exchange all their documents; a certified one gives
+only its emptiest bin, as its bound rounds up.
 Best-fit decreasing is run again over what was exchanged, and a result is taken
 only if it has fewer bins than came in, so no round makes a packing worse.
 
@@ -129,7 +129,7 @@ def _packer(cols: list[str], capacity: int, rnd: int, last: bool):
         released = np.zeros(len(fill), bool)
         if not last:
             if len(fill) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
-                released = fill < capacity
+                released[:] = True
             else:
                 released[np.argmin(fill)] = fill.min() < capacity
         return pdf[cols].assign(sequence_id=ids, offset=offsets, _released=released[bins])
@@ -140,20 +140,21 @@ def _packer(cols: list[str], capacity: int, rnd: int, last: bool):
 def pack(items: DataFrame, capacity: int = 4096, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
     """Place rows with a length of 1..capacity in sequences: adds sequence_id and offset.
 
-    Each round is written to the shared folder. A round deals whole unfilled
-    bins to partitions that are larger each time, until one of them packs the
-    rest; none gets more than about MOST_PIECES rows.
+    Each round is written to the shared folder. A round deals whole bins to
+    partitions that are larger each time, until one of them packs the rest or
+    they hold MOST_PIECES rows each.
     """
     cols = items.columns
     pool = materialize(items.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
     out_schema = f"{fields}, _uid long, sequence_id long, offset long, _released boolean"
     done: list[DataFrame] = []
-    rows = pool.count()
+    rows, before = pool.count(), 0
     for rnd in range(MAX_ROUNDS):
         parts = max(1, -(-rows // min(partition_pieces << 2 * rnd, max(partition_pieces, MOST_PIECES))))
         dealt = pool.withColumn("_part", _deal(rnd, parts, "_uid" if rnd == 0 else "sequence_id"))
-        last = parts == 1 or rnd == MAX_ROUNDS - 1
+        last = parts in (1, before) or rnd == MAX_ROUNDS - 1
+        before = parts
         one = _packer([*cols, "_uid"], capacity, rnd, last)
         packed = materialize(dealt.groupBy("_part").applyInPandas(one, out_schema), f"packed-{rnd}")
         done.append(packed.where("not _released"))
