@@ -208,3 +208,43 @@ def ligand_density(px: DataFrame, rate: float = 1.0, decay: float = 0.05, sweeps
         return pdf[["frame", "x", "y"]].assign(density=u[y + 1, x + 1])
 
     return px.groupBy("frame").applyInPandas(one, "frame int, x int, y int, density double")
+
+
+def border_table(px: DataFrame, states: DataFrame | None = None, knn: int = 12, rmax: float = 10.0) -> DataFrame:
+    """One row a border point: frame, index, state, pt, n, c, d, nn_index, nn_state, nn_pt. States are (frame, label, state), 1 if none are given."""
+    from motrac.operators.cells import borders
+
+    pts = borders(px).select("frame", F.col("label").cast("long").alias("index"), F.array(F.col("x").cast("double"), F.col("y").cast("double"), F.lit(0.0)).alias("pt"))
+    pts = surface_normals(pts, knn)
+    near = nearest_other(pts.select("frame", "index", "pt"), rmax)
+    out = pts.join(near, ["frame", "index", "pt"], "left")
+    if states is None:
+        return out.select("frame", "index", F.lit(1).alias("state"), "pt", "n", "c", "d", "nn_index", F.when(F.col("nn_index").isNotNull(), 1).alias("nn_state"), "nn_pt")
+    s = states.select("frame", F.col("label").cast("long").alias("index"), "state")
+    t = s.select("frame", F.col("index").alias("nn_index"), F.col("state").alias("nn_state"))
+    return out.join(s, ["frame", "index"], "left").join(t, ["frame", "nn_index"], "left").select("frame", "index", "state", "pt", "n", "c", "d", "nn_index", "nn_state", "nn_pt")
+
+
+def labels_from_border(points: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Pixels inside each cell's convex outline (frame, x, y, label); where outlines meet the larger number stays."""
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = np.unique(np.stack(pdf["pt"].to_numpy())[:, :2], axis=0)
+
+        def half(q):
+            out = []
+            for a in q:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (a[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (a[0] - out[-2][0]) <= 0:
+                    out.pop()
+                out.append(a)
+            return out[:-1]
+
+        ring = np.array(half(p) + half(p[::-1])) if len(p) > 2 else p
+        x, y = np.meshgrid(np.arange(max(0, int(p[:, 0].min())), min(nx, int(p[:, 0].max()) + 1)), np.arange(max(0, int(p[:, 1].min())), min(ny, int(p[:, 1].max()) + 1)))
+        inside = np.ones(x.shape, bool)
+        for a, b in zip(ring, np.roll(ring, -1, axis=0)):
+            inside &= (b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -1e-9
+        return pd.DataFrame({"frame": pdf["frame"].iloc[0], "x": x[inside], "y": y[inside], "label": pdf["index"].iloc[0]})
+
+    drawn = points.select("frame", "index", "pt").groupBy("frame", "index").applyInPandas(fill, "frame int, x int, y int, label long")
+    return drawn.groupBy("frame", "x", "y").agg(F.max("label").alias("label"))

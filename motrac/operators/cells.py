@@ -203,3 +203,54 @@ def mosaic(px: DataFrame, size: int, ncols: int, overlap: int) -> DataFrame:
     step = size - overlap
     placed = px.select((F.col("x") + (F.col("frame") % ncols) * step).alias("x"), (F.col("y") + F.floor(F.col("frame") / ncols) * step).alias("y"), "frame", "c1")
     return placed.groupBy("x", "y").agg(F.max_by("c1", "frame").alias("value"))
+
+
+def crop(px: DataFrame, index: DataFrame, cells: list[int], expansion: int = 0) -> DataFrame:
+    """(cell_id, frame, x, y, own...): pixels of each given cell's box and what lies within expansion of it, cut at the image."""
+    box = F.broadcast(index.where(F.col("cell_id").isin(cells)).select("cell_id", "frame", F.col("label").alias("_label"), "x0", "x1", "y0", "y1"))
+    inside = (F.col("x") >= F.col("x0") - expansion) & (F.col("x") < F.col("x1") + expansion) & (F.col("y") >= F.col("y0") - expansion) & (F.col("y") < F.col("y1") + expansion)
+    return px.join(box, "frame").where(inside).select("cell_id", "frame", "x", "y", "label", (F.col("label") == F.col("_label")).alias("own"))
+
+
+def cyto_minus_nuc(cyto: DataFrame, nuc: DataFrame) -> DataFrame:
+    """Cytoplasm labels grown by a pixel, together with nuclei of the same label, less every nucleus pixel."""
+    n = nuc.where("label > 0").select("frame", "x", "y", F.col("label").alias("_n"))
+    both = cyto.join(n, ["frame", "x", "y"], "left").withColumn("label", F.when(F.col("label") > 0, F.col("label")).otherwise(F.coalesce("_n", F.lit(0)))).drop("_n")
+    return dilate(both).where("label > 0").join(n, ["frame", "x", "y"], "left_anti").select("frame", "x", "y", "label")
+
+
+def intensity_centers(px: DataFrame, channel: str, radius: int = 1) -> DataFrame:
+    """Pixels that are the largest within radius; of equal ones the first by place stays."""
+    around = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]
+    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in around]))
+    key = F.struct(F.col(channel).alias("v"), (-F.col("x")).alias("a"), (-F.col("y")).alias("b"))
+    sent = px.select("frame", "x", "y", key.alias("k"), shifts.alias("s")).select("frame", (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"), "k")
+    top = sent.groupBy("frame", "x", "y").agg(F.max("k").alias("k"))
+    return top.where((-F.col("k.a") == F.col("x")) & (-F.col("k.b") == F.col("y"))).select("frame", "x", "y", F.col("k.v").alias("value"))
+
+
+def affine(px: DataFrame, matrix: list[float]) -> DataFrame:
+    """Pixels at the nearest whole place of a row-major 3 by 3 transform; several on one place leave the largest label."""
+    a, b, c, d, e, f = matrix[:6]
+    moved = px.select("frame", F.round(a * F.col("x") + b * F.col("y") + c).cast("int").alias("x"), F.round(d * F.col("x") + e * F.col("y") + f).cast("int").alias("y"), "label")
+    return moved.groupBy("frame", "x", "y").agg(F.max("label").alias("label"))
+
+
+def bunches(px: DataFrame, on: Column, least: int) -> DataFrame:
+    """Connected parts of over `least` pixels, numbered from 1 in each frame by their smallest pixel."""
+    p = components(px, F.when(on, F.lit(1)))
+    size = p.groupBy("frame", "part").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    size = size.withColumn("bunch", F.row_number().over(Window.partitionBy("frame").orderBy("part")))
+    return p.join(size, ["frame", "part"]).select("frame", "x", "y", "bunch")
+
+
+def border_profile(px: DataFrame, channel: str, depth: int = 2) -> DataFrame:
+    """Mean of a channel by ring inside each label's border: ring 0 is the border, 1 what is the border without it, and so on."""
+    own, out = px, None
+    for k in range(depth + 1):
+        ring = borders(own).join(px.select("frame", "x", "y", channel), ["frame", "x", "y"])
+        mean = ring.groupBy("frame", "label").agg(F.avg(channel).alias("value")).withColumn("ring", F.lit(k))
+        out = mean if out is None else out.unionByName(mean)
+        gone = borders(own).select("frame", "x", "y", F.lit(1).alias("_b"))
+        own = own.join(gone, ["frame", "x", "y"], "left").withColumn("label", F.when(F.col("_b") == 1, 0).otherwise(F.col("label"))).drop("_b")
+    return out.select("frame", "label", "ring", "value")

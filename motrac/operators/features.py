@@ -164,3 +164,35 @@ def apply_slices(px: DataFrame, function: Callable[[np.ndarray], np.ndarray], ch
         return pdf[[*key, "x", "y"]].assign(value=function(img)[y, x].astype(float))
 
     return px.groupBy(*key).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in [*key, "x", "y"]) + ", value double")
+
+
+def fft_magnitude(img: np.ndarray) -> np.ndarray:
+    """Magnitudes of the two-dimensional transform with the zero frequency in the middle."""
+    return np.abs(np.fft.fftshift(np.fft.fft2(np.nan_to_num(img))))
+
+
+def align(mask: np.ndarray, img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both turned so that the mask's long axis lies along x, by nearest pixels about its centre."""
+    y, x = np.nonzero(mask)
+    c = np.array([y.mean(), x.mean()])
+    w, v = np.linalg.eigh(np.cov(np.stack([y - c[0], x - c[1]]), bias=True))
+    angle = np.arctan2(v[0, 1], v[1, 1])
+    yy, xx = np.mgrid[: mask.shape[0], : mask.shape[1]]
+    dy, dx = yy - c[0], xx - c[1]
+    sy = np.rint(c[0] + np.cos(angle) * dy + np.sin(angle) * dx).astype(int)
+    sx = np.rint(c[1] - np.sin(angle) * dy + np.cos(angle) * dx).astype(int)
+    ok = (sy >= 0) & (sy < mask.shape[0]) & (sx >= 0) & (sx < mask.shape[1])
+    out_m, out_i = np.zeros_like(mask), np.zeros_like(img)
+    out_m[ok], out_i[ok] = mask[sy[ok], sx[ok]], img[sy[ok], sx[ok]]
+    return out_m, out_i
+
+
+def masked_distance(a: np.ndarray, b: np.ndarray, ma: np.ndarray, mb: np.ndarray) -> float:
+    """Euclidean distance over the common mask by its area; NaN without one."""
+    both = ma & mb
+    return float(np.sqrt(((a - b)[both] ** 2).sum()) / both.sum()) if both.any() else float("nan")
+
+
+def best_turn_distance(a: np.ndarray, b: np.ndarray, ma: np.ndarray, mb: np.ndarray, turns: int = 4) -> float:
+    """The least masked distance over quarter turns of square pictures."""
+    return float(np.nanmin([masked_distance(a, np.rot90(b, k), ma, np.rot90(mb, k)) for k in range(turns)]))

@@ -155,3 +155,61 @@ def segment_lookup(series: DataFrame, segs: DataFrame, length: int, drop_last: b
         wins = wins.where(F.lead("pos").over(Window.partitionBy("traj_id").orderBy("pos")).isNotNull())
     found = wins.join(segs.select("cell_ids", "seg_id"), "cell_ids")
     return found.withColumn("n", F.count("*").over(Window.partitionBy("traj_id", "pos"))).where("n = 1").select("traj_id", "pos", "seg_id")
+
+
+def transport_links(cells: DataFrame, points: DataFrame, distcut: float, cost_cut: float | None = None) -> DataFrame:
+    """Each cell's parent among the last frame's cells nearer than distcut: the one with the cheapest transport between borders.
+
+    cells: frame, label, x, y. points: frame, label, px, py. One task at a time
+    holds the borders of one candidate pair.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from motrac.operators.boundary import transport
+
+    before = cells.select((F.col("frame") + 1).alias("frame"), F.col("label").alias("parent_label"), "x", "y")
+    near = pairs_within(cells.select("frame", "label", "x", "y"), before, distcut, [("frame", "frame")]).select("frame", "label", F.col("b_parent_label").alias("parent_label"))
+    own = near.join(points, ["frame", "label"]).select("frame", "label", "parent_label", "px", "py", F.lit(0).alias("side"))
+    other = near.join(points.select((F.col("frame") + 1).alias("frame"), F.col("label").alias("parent_label"), "px", "py"), ["frame", "parent_label"]).select("frame", "label", "parent_label", "px", "py", F.lit(1).alias("side"))
+
+    def cost(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["side"] == s][["px", "py"]].to_numpy(float) for s in (0, 1))
+        value = transport(a, b)[1] if len(a) and len(b) else np.inf
+        return pdf[["frame", "label", "parent_label"]].iloc[:1].assign(cost=value)
+
+    costs = own.unionByName(other).groupBy("frame", "label", "parent_label").applyInPandas(cost, "frame int, label int, parent_label int, cost double")
+    if cost_cut is not None:
+        costs = costs.where(F.col("cost") < cost_cut)
+    best = costs.groupBy("frame", "label").agg(F.min(F.struct("cost", "parent_label")).alias("k"))
+    return best.select("frame", "label", F.col("k.parent_label").alias("parent_label"), F.col("k.cost").alias("cost"))
+
+
+def assignment_links(cells: DataFrame, distcut: float) -> DataFrame:
+    """One-to-one links between following frames with the least summed distance, none over distcut: the constrained tracker.
+
+    A frame pair is one group; its cells are as many as one picture holds.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from motrac.operators.boundary import assignment
+
+    now = cells.select("frame", "label", "x", "y", F.lit(0).alias("side"))
+    pairs = now.unionByName(cells.select((F.col("frame") + 1).alias("frame"), "label", "x", "y", F.lit(1).alias("side")))
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf["side"] == s].sort_values("label") for s in (0, 1))
+        if a.empty or b.empty:
+            return pd.DataFrame({"frame": [], "label": [], "parent_label": [], "d": []}).astype({"frame": "int32", "label": "int32", "parent_label": "int32"})
+        d = np.sqrt(((a[["x", "y"]].to_numpy()[:, None] - b[["x", "y"]].to_numpy()[None]) ** 2).sum(2))
+        n = len(a) + len(b)
+        cost = np.full((n, n), float(distcut))
+        cost[: len(a), : len(b)] = np.where(d < distcut, d, 4 * distcut * n)
+        cost[len(a) :, len(b) :] = 0
+        to = assignment(cost)[: len(a)]
+        ok = np.flatnonzero(to < len(b))
+        ok = ok[d[ok, to[ok]] < distcut]
+        return pd.DataFrame({"frame": a["frame"].to_numpy()[ok], "label": a["label"].to_numpy()[ok], "parent_label": b["label"].to_numpy()[to[ok]], "d": d[ok, to[ok]]})
+
+    return pairs.groupBy("frame").applyInPandas(link, "frame int, label int, parent_label int, d double")
