@@ -11,20 +11,21 @@ a doc_id within a group of copies, one of them stays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motrac.llm import dedup, packing, quality, simhash, toxicity
 from motrac.llm.common import materialize, table
 
 
-def _only(docs: DataFrame, kept: DataFrame, key: list) -> DataFrame:
-    """The rows of docs whose key is in kept; where kept has a key twice, one row of each key.
+def _only(docs: DataFrame, judged: DataFrame, keep: Column, key: list) -> DataFrame:
+    """The rows of docs whose key a kept row of judged has; where rows share a key, one row of it.
 
-    key: pairs of a column of docs and a column of kept.
+    judged has a row for each row of docs. key: pairs of a column of docs and a column of judged.
     """
     names = [f"_key{i}" for i in range(len(key))]
-    kept = materialize(kept.select(*[b.alias(n) for n, (_, b) in zip(names, key)]).groupBy(*names).agg(F.count("*").alias("_rows")), "kept")
+    kept = judged.select(keep.cast("int").alias("_keep"), *[b.alias(n) for n, (_, b) in zip(names, key)]).groupBy(*names).agg(F.count("*").alias("_rows"), F.max("_keep").alias("_keep"))
+    kept = materialize(kept.where("_keep = 1"), "kept")
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[a.alias(f"_own{i}") for i, (a, _) in enumerate(key)])
     on = [F.col(f"_own{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names)]
     out = keyed.join(kept, on, "left_semi")
@@ -42,14 +43,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = dedup.exact_duplicates(docs).where("kept")
+    judged = dedup.exact_duplicates(docs)
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    return _only(docs, kept, [(F.col("doc_id").cast("long"), F.col("doc_id")), (digest, F.col("text_sha256"))])
+    return _only(docs, judged, F.col("kept"), [(F.col("doc_id").cast("long"), F.col("doc_id")), (digest, F.col("text_sha256"))])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _only(docs, kept, [(F.col("doc_id").cast("long"), F.col("doc_id"))])
+    judged = simhash.near_duplicates(docs)
+    return _only(docs, judged, F.col("doc_id").eqNullSafe(F.col("component_id")), [(F.col("doc_id").cast("long"), F.col("doc_id"))])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

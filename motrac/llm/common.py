@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motrac.sources.scratch import materialize, scratch_path
 
-__all__ = ["chunk_codes", "documents", "materialize", "scratch_path", "table", "text_blocks", "windows"]
+__all__ = ["chunk_codes", "documents", "held", "materialize", "scratch_path", "table", "text_blocks", "windows"]
+
+
+_HELD: dict = {}
+
+
+def held(name, make):
+    """What a Python worker remembers from task to task for one operator at a time.
+
+    Workers live on from stage to stage; what another operator has left goes first,
+    so that memories of several operators never add up.
+    """
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[name] = make()
+    return _HELD[name]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -18,22 +18,23 @@ columns are kept by filter_quality and ignored by score_quality.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motrac.llm.common import chunk_codes, documents, text_blocks
+from motrac.llm.common import chunk_codes, documents, held, text_blocks
 
 #: Labelled texts that the model may hold, terms, latent dimensions, neighbours.
 MAX_TRAIN, MAX_TERMS, RANK, NEIGHBOURS = 3000, 512, 32, 25
 THRESHOLD = 0.3
 _RUNS = re.compile(r"(.)\1+")
-_SHAPES: dict[str, tuple[str, str]] = {}
+_SIZES = [f"l:{n.bit_length()}" for n in range(41)]
 
 
 def shape(chunk: str) -> str:
@@ -42,12 +43,19 @@ def shape(chunk: str) -> str:
     return _RUNS.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)[:12]
 
 
-def _shape(chunk: str) -> tuple[str, str]:
-    got = _SHAPES.get(chunk)
+def _shape(chunk: str, known: dict[str, tuple[str, str]]) -> tuple[str, str]:
+    """The chunk's terms; plain words are seen at once, others remembered."""
+    size = _SIZES[min(len(chunk), 40)]
+    if chunk.isalpha():
+        if chunk.islower():
+            return "s:a", size
+        if chunk[0].isupper() and chunk[1:].islower():
+            return "s:Aa", size
+    got = known.get(chunk)
     if got is None:
-        if len(_SHAPES) > 500_000:
-            _SHAPES.clear()
-        got = _SHAPES[chunk] = (f"s:{shape(chunk)}", f"l:{min(len(chunk), 40).bit_length()}")
+        if len(known) > 100_000:
+            known.clear()
+        got = known[chunk] = (sys.intern(f"s:{shape(chunk)}"), size)
     return got
 
 
@@ -77,9 +85,10 @@ def terms(codes: np.ndarray, names: list[tuple[str, str]]) -> Counter:
 
 def text_terms(texts: pa.Array):
     """The terms of each text of an Arrow string array, in order."""
+    known = held("quality", dict)
     for lo, hi in text_blocks(texts):
         distinct, codes, offsets = chunk_codes(texts.slice(lo, hi - lo))
-        names = [_shape(c) for c in distinct]
+        names = [_shape(c, known) for c in distinct]
         full = np.array([bool(c) for c in distinct] or [True])
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             own = codes[a:b]
@@ -159,10 +168,12 @@ def scorer(model: QualityModel, spark):
     """A column function of a text column."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        rows = list(text_terms(pa.array(texts.fillna(""), pa.string())))
-        return pd.Series(shared.value.score(rows), dtype="float64")
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        every, out = text_terms(texts), []
+        while rows := list(islice(every, 512)):
+            out.append(shared.value.score(rows))
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return score
 

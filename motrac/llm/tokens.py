@@ -14,13 +14,12 @@ import re
 
 import numpy as np
 
-from motrac.llm.common import chunk_codes, text_blocks
+from motrac.llm.common import chunk_codes, held, text_blocks
 
 #: Latin letters that no normal form changes and that lower-case by themselves, digits and ASCII marks.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿĀ-įĲ-ſ]+")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORKER: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
 def default_path() -> str:
@@ -114,11 +113,7 @@ class ChunkEncoder:
 
 def encoder(path: str, max_entries: int = 400_000) -> ChunkEncoder:
     """The Python worker's encoder, kept from task to task."""
-    key = (path, max_entries)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = ChunkEncoder(path, max_entries)
-    return _WORKER[key]
+    return held(("encoder", path, max_entries), lambda: ChunkEncoder(path, max_entries))
 
 
 def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,39 +23,38 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motrac.llm.common import chunk_codes, documents, text_blocks
+from motrac.llm.common import chunk_codes, documents, held, text_blocks
 
 #: Labelled texts of either kind that the model may be fitted on, and features kept.
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4000, 8000, 3000
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
-_KNOWN: dict[str, tuple[int, ...]] = {}
 
 
-def features_of(chunk: str) -> tuple[int, ...]:
+def features_of(chunk: str, known: dict[str, tuple[int, ...]]) -> tuple[int, ...]:
     """Hashes of a chunk's words and their beginnings."""
-    got = _KNOWN.get(chunk)
+    got = known.get(chunk)
     if got is None:
-        if len(_KNOWN) > 400_000:
-            _KNOWN.clear()
+        if len(known) > 200_000:
+            known.clear()
         out = []
         for w in _WORD.findall(chunk.lower()):
             out.append(zlib.crc32(w.encode("utf-8", "surrogatepass")))
             out += [zlib.crc32(b"^" + w[:n].encode("utf-8", "surrogatepass")) for n in range(3, 7) if len(w) > n]
-        got = _KNOWN[chunk] = tuple(out)
+        got = known[chunk] = tuple(out)
     return got
 
 
 def _counted(texts: pa.Array, chosen: dict[int, int] | None):
     """For each text its features' counts and its number of chunks; only chosen ones if given, by their numbers."""
+    known = held("toxicity", dict)
     for lo, hi in text_blocks(texts):
         distinct, codes, offsets = chunk_codes(texts.slice(lo, hi - lo))
-        each = [features_of(c) for c in distinct]
+        each = [features_of(c, known) for c in distinct]
         if chosen is not None:
             each = [tuple([chosen[f] for f in e if f in chosen]) for e in each]
         some = np.array([bool(e) for e in each] or [False])
@@ -166,10 +165,10 @@ def scorer(model: ToxicityModel, spark):
     """A column function of a text column: struct of severity and chance."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("severity double, chance double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        severity, chance = shared.value.severity(pa.array(texts.fillna(""), pa.string()))
-        return pd.DataFrame({"severity": severity, "chance": chance})
+    @F.arrow_udf("severity double, chance double")
+    def score(texts: pa.Array) -> pa.Array:
+        severity, chance = shared.value.severity(texts)
+        return pa.StructArray.from_arrays([pa.array(severity), pa.array(chance)], names=["severity", "chance"])
 
     return score
 

@@ -27,12 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from motrac.llm.common import chunk_codes, documents, text_blocks
+from motrac.llm.common import chunk_codes, documents, held, text_blocks
 from motrac.llm.tokens import byte_letters, default_path
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = 1 << 60
-_WORKER: dict[tuple[str, int], "TrieEncoder"] = {}
 
 
 class TrieEncoder:
@@ -216,11 +215,8 @@ class TrieEncoder:
 
 
 def trie_encoder(path: str, max_entries: int = 500_000) -> TrieEncoder:
-    key = (path, max_entries)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = TrieEncoder(path, max_entries)
-    return _WORKER[key]
+    """The Python worker's encoder, kept from task to task."""
+    return held(("trie", path, max_entries), lambda: TrieEncoder(path, max_entries))
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
