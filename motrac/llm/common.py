@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,9 @@ def held(name, make):
     if name not in _HELD:
         _HELD.clear()
         gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
         _HELD[name] = make()
     return _HELD[name]
 
@@ -57,9 +61,10 @@ def windows(data: bytes, width: int = 1 << 20):
         yield data[start:] if start else data
 
 
-def text_blocks(texts, limit: int = 8 << 20):
+def text_blocks(texts, limit: int = 4 << 20):
     """Row ranges of an Arrow string array of about limit bytes each, one row at least."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -70,6 +75,7 @@ def text_blocks(texts, limit: int = 8 << 20):
         hi = min(max(hi, lo + 1), n)
         yield lo, hi
         lo = hi
+    pa.default_memory_pool().release_unused()
 
 
 def chunk_codes(texts):

@@ -176,7 +176,7 @@ def _rows(rows: list) -> pa.RecordBatch:
 
 
 def _filter_of(hits: DataFrame, n_bits: int):
-    """One Bloom filter of all digests; each task makes its own and they are joined in a tree."""
+    """One Bloom filter of all digests, of at most 8 MB; each task makes its own and the driver joins them one at a time."""
 
     def run(batches):
         bloom = Bloom(0)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
@@ -43,7 +44,7 @@ class ChunkEncoder:
     reached the memory is emptied and fills again, which changes no result.
     """
 
-    def __init__(self, path: str, max_entries: int = 400_000):
+    def __init__(self, path: str, max_entries: int = 300_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -60,31 +61,29 @@ class ChunkEncoder:
         pre = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         self.by_word = (pre[0].get("pattern") or {}).get("Regex") == PATTERN and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.letters = byte_letters()
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.max_entries = max_entries
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
             mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
             ids = self.words[word] = self._ids(mapped)
         return ids
 
-    def _ids(self, mapped: str) -> tuple[int, ...]:
-        return tuple([t.id for t in self.model.tokenize(mapped)])
+    def _ids(self, mapped: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def _whole(self, chunk: str) -> tuple[int, ...]:
-        return tuple(self.tok.encode(chunk, add_special_tokens=False).ids)
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
+    def chunk(self, chunk: str) -> bytes:
+        """The chunk's ids, four bytes each."""
         got = self.chunks.get(chunk)
         if got is None:
             if self.by_word and PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
                 found = WORDS.findall(chunk.lower())
-                got = self._word(found[0]) if len(found) == 1 else tuple([i for w in found for i in self._word(w)])
+                got = self._word(found[0]) if len(found) == 1 else b"".join([self._word(w) for w in found])
             else:
-                got = self._whole(chunk) if chunk else ()
+                got = array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
             self.chunks[chunk] = got
         return got
 
@@ -97,8 +96,8 @@ class ChunkEncoder:
             if len(self.words) + len(distinct) > self.max_entries:
                 self.words.clear()
             each = [self.chunk(c) for c in distinct]
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            pool = np.fromiter((i for e in each for i in e), np.uint32, int(sizes.sum()))
+            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+            pool = np.frombuffer(b"".join(each), np.uint32)
             starts = np.cumsum(sizes) - sizes
             n = sizes[codes]
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -111,7 +110,7 @@ class ChunkEncoder:
         return [int(i) for _, _, ids, _ in self.encode_array(pa.array([text], pa.string())) for i in ids]
 
 
-def encoder(path: str, max_entries: int = 400_000) -> ChunkEncoder:
+def encoder(path: str, max_entries: int = 300_000) -> ChunkEncoder:
     """The Python worker's encoder, kept from task to task."""
     return held(("encoder", path, max_entries), lambda: ChunkEncoder(path, max_entries))
 
