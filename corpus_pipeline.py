@@ -6,7 +6,8 @@ near copies; what stays is packed in sequences. Each stage sees all that its
 predecessor kept, and all but the last return the columns of documents.
 
 A row with a null doc_id is judged by its text like any other. Where rows repeat
-a doc_id within a group of copies, one of them stays.
+a doc_id within a group of copies, one of them stays; rows that share a doc_id, or
+have none, with texts of their own all stay.
 """
 
 from __future__ import annotations
@@ -49,8 +50,26 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = simhash.near_duplicates(docs)
-    return _only(docs, judged, F.col("doc_id").eqNullSafe(F.col("component_id")), [(F.col("doc_id").cast("long"), F.col("doc_id"))])
+    """One row of each component: that with the smallest doc_id, a null one last.
+
+    A doc_id that only one row has finds its row alone. Rows without one, or that
+    share it, are told apart by their fingerprint, which is made for them again.
+    """
+    judged = simhash.labelled(docs)
+    first = judged.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")).select("k.doc_id", "k.fp")
+    repeated = judged.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("many"))
+    kept = first.join(repeated, "doc_id", "left").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), (F.col("doc_id").isNull() | F.col("many").isNotNull()).alias("_many"))
+    kept = materialize(kept, "kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*columns, F.col("doc_id").cast("long").alias("_own"))
+    out = keyed.join(kept.where("not _many"), F.col("_own") == F.col("_id"), "left_semi").select(*columns)
+    many = kept.where("_many")
+    if many.head(1):
+        shared = keyed.join(many.where("_id is not null").select("_id").distinct(), F.col("_own") == F.col("_id"), "left_semi").unionByName(keyed.where("_own is null"))
+        shared = shared.withColumn("_print", simhash.fingerprint_of(F.col("text")))
+        shared = shared.join(many, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp")), "left_semi")
+        out = out.unionByName(shared.dropDuplicates(["_own", "_print"]).select(*columns))
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

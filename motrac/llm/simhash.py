@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motrac.llm.common import documents, materialize, windows
@@ -82,6 +82,16 @@ def fingerprints(docs: DataFrame, size: int = 4, seed: int = 42, id_col: str = "
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
+def fingerprint_of(text: Column, size: int = 4, seed: int = 42) -> Column:
+    """The fingerprint of a text column, as a signed long."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_buffer().to_pybytes(), size, seed) for t in texts], np.uint64).view(np.int64))
+
+    return run(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def _gram(batches):
     total, n = np.zeros((BITS, BITS), np.int64), 0
     for batch in batches:
@@ -244,13 +254,18 @@ def links(fps: DataFrame, tau: int = 4) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_probe(tau), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+def labelled(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, fp, root (the least fingerprint of the component, which names it), component_id."""
     rows = materialize(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
     values = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "values")
     roots = components(links(values.select("fp"), tau))
     named = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_value = named.join(least, "root").select("fp", "component_id")
-    return rows.join(by_value, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_value = named.join(least, "root").select("fp", "root", "component_id")
+    return rows.join(by_value, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hexadecimal digits), component_id."""
+    return labelled(docs, tau, size, seed, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

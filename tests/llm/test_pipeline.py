@@ -61,3 +61,10 @@ def test_near_copies_stage_with_repeats_nulls_and_clashing_columns(spark, docs,
     ids = [r["doc_id"] for r in got.collect()]
     assert len(ids) == len(set(ids)) and 1 in ids and 13 in ids
     assert corpus_pipeline.drop_near_copies(spark, no_docs, "").count() == 0
+
+
+def test_near_copies_stage_keeps_every_text_without_or_with_a_shared_id(spark):
+    own = ["alpha beta gamma delta epsilon zeta", "one river runs past seven quiet towns", "her letters arrived late in the winter", "we sold the boat and bought two goats", "nine engines failed before the last test"]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (7, own[2]), (7, own[3]), (7, own[3]), (3, own[4]), (None, own[4]), (9, own[2])]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, own[0]), (0, own[1]), (7, own[2]), (7, own[3]), (3, own[4])])
