@@ -34,32 +34,43 @@ from motrac.llm.common import chunk_codes, documents, held, text_blocks
 MAX_TRAIN, MAX_TERMS, RANK, NEIGHBOURS = 3000, 512, 32, 25
 THRESHOLD = 0.3
 _RUNS = re.compile(r"(.)\1+")
-_SIZES = [f"l:{n.bit_length()}" for n in range(41)]
+#: Characters of a chunk that are shaped together, and symbols of a shape that make one term.
+PIECE, SYMBOLS = 64, 12
 
 
-def shape(chunk: str) -> str:
-    """Runs of upper and lower case, digits and each mark; a run of marks longer than one is doubled."""
-    kinds = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in chunk[:64]])
-    return _RUNS.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)[:12]
+def shapes(chunk: str):
+    """The terms of a whole chunk's shape, one for each SYMBOLS symbols of each PIECE characters.
 
+    Symbols are runs of upper and lower case, digits and each mark; a run of marks longer than one is doubled.
+    """
+    for i in range(0, len(chunk), PIECE):
+        kinds = "".join(["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in chunk[i : i + PIECE]])
+        kinds = _RUNS.sub(lambda m: m[1] if m[1] in "Aa0" else m[1] * 2, kinds)
+        for k in range(0, len(kinds), SYMBOLS):
+            yield sys.intern(f"s:{kinds[k : k + SYMBOLS]}")
 
-def _shape(chunk: str, known: dict[str, tuple[str, str]]) -> tuple[str, str]:
-    """The chunk's terms; plain words are seen at once, others remembered."""
-    size = _SIZES[min(len(chunk), 40)]
+
+def _shape(chunk: str, known: dict[str, tuple[dict[str, float], str]]) -> tuple[dict[str, float], str]:
+    """The chunk's shape terms with their shares, and its size; plain words are seen at once, short others remembered."""
+    size = f"l:{len(chunk).bit_length()}"
     if chunk.isalpha():
         if chunk.islower():
-            return "s:a", size
+            return {"s:a": 1.0}, size
         if chunk[0].isupper() and chunk[1:].islower():
-            return "s:Aa", size
+            return {"s:Aa": 1.0}, size
     got = known.get(chunk)
     if got is None:
-        if len(known) > 100_000:
-            known.clear()
-        got = known[chunk] = (sys.intern(f"s:{shape(chunk)}"), size)
+        own = Counter(shapes(chunk))
+        n = own.total()
+        got = ({t: k / n for t, k in own.items()}, size)
+        if len(chunk) <= PIECE:
+            if len(known) > 100_000:
+                known.clear()
+            known[chunk] = got
     return got
 
 
-def terms(codes: np.ndarray, names: list[tuple[str, str]]) -> Counter:
+def terms(codes: np.ndarray, names: list[tuple[dict[str, float], str]]) -> Counter:
     """The terms of one text with their shares, which add up to one for each kind."""
     n = len(codes)
     out: Counter = Counter()
@@ -69,7 +80,8 @@ def terms(codes: np.ndarray, names: list[tuple[str, str]]) -> Counter:
     own, counts = np.unique(codes, return_counts=True)
     for c, k in zip(own.tolist(), counts.tolist()):
         a, b = names[c]
-        out[a] += k / n
+        for t, share in a.items():
+            out[t] += share * k / n
         out[b] += k / n
     again = int((codes[1:] == codes[:-1]).sum())
     out["again"] = again / n

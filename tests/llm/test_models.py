@@ -44,6 +44,15 @@ def test_quality_votes_equal_brute_force(spark):
         assert s == pytest.approx(sum(a * y for a, (_, y) in zip(w, near)) / sum(w), abs=0.05)
 
 
+def test_quality_reads_long_chunks_to_their_end():
+    head = "\u6587" * 70
+    a, b, c, d = quality.text_terms(pa.array([head + "\u3002" + head, head + "!!##$$" + head, "a1" * 10 + "b", "a1" * 10 + "?"]))
+    assert a != b and c != d
+    for t in (a, b, c, d):
+        assert sum(v for k, v in t.items() if k.startswith("s:")) == pytest.approx(1)
+    assert list(quality.text_terms(pa.array(["x" * 50])))[0]["l:6"] == list(quality.text_terms(pa.array(["x" * 500])))[0]["l:9"] == 1
+
+
 def test_toxicity_accuracy(spark):
     docs = table(spark, SF, "documents")
     labels = table(spark, SF, "labels").withColumnRenamed("toxic", "truth")
