@@ -6,7 +6,8 @@ its words: names that are written together are divided by a unigram model and a
 Viterbi search, and a multinomial naive Bayes model over the words decides.
 
 The unigram counts are those of the seeds and of the words that stand alone in
-the urls themselves, over all rows; the MAX_WORDS most frequent are broadcast.
+the urls themselves, by the number of hosts they are met on, over all rows; seeds
+that are written together are none. The MAX_WORDS most frequent are broadcast.
 The naive Bayes model is trained on the seeds, labelled names written here.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits no
@@ -97,6 +98,14 @@ def seed_names(kind: str) -> list[list[str]]:
     return [n.split() for n in re.split(r"[|\n]\s*", SEEDS[kind])]
 
 
+def _written_together(word: str, names: frozenset[str]) -> bool:
+    """Whether the word is two or more of the names and no name itself."""
+    ends = [True] + [False] * len(word)
+    for i in range(1, len(word) + 1):
+        ends[i] = any(ends[j] and word[j:i] in names for j in range(i))
+    return ends[-1] and word not in names
+
+
 def fit(hosts: DataFrame | None = None, max_words: int = MAX_WORDS, prior: float = -1.0) -> UrlModel:
     """Unigram costs from seeds and the given (host, path) rows, and the naive Bayes weights of the seeds."""
     counts = {k: Counter(w for n in seed_names(k) for w in n) for k in SEEDS}
@@ -106,7 +115,10 @@ def fit(hosts: DataFrame | None = None, max_words: int = MAX_WORDS, prior: float
     if hosts is not None:
         word = F.explode(F.split(F.lower(F.concat_ws(" ", "host", "path")), "[^a-z]+")).alias("w")
         # A name met alone is a word; long ones are more likely several, so a word's length divides its count.
-        own = hosts.select(word).where("length(w) between 2 and 12").groupBy("w").count().orderBy(F.desc("count"), "w").limit(max_words).collect()
+        # A host counts once, and seeds written together are no word however often they are met.
+        seeds = frozenset(unigrams)
+        together = F.udf(lambda w: _written_together(w, seeds), "boolean")
+        own = hosts.select("host", word).where("length(w) between 2 and 12").distinct().groupBy("w").count().where(~together("w")).orderBy(F.desc("count"), "w").limit(max_words).collect()
         for r in own:
             unigrams[r["w"]] += math.log1p(r["count"]) / len(r["w"])
     total = sum(unigrams.values())

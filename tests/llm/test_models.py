@@ -110,6 +110,13 @@ def test_url_filter(spark, sf_dir):
     assert next(r["verdict"] for r in got if r["page_id"] == -11) == "block"
 
 
+def test_url_verdict_does_not_depend_on_how_often_a_host_is_met(spark):
+    for n in (1, 400):
+        rows = [(i, f"http://{h}.info/") for h in ("cheappills", "freebets") for i in range(n)] + [(-i, f"http://site{i}.info/page") for i in range(800)]
+        got = urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()
+        assert {r["host"]: r["verdict"] for r in got if "site" not in r["host"]} == {"cheappills.info": "block", "freebets.info": "block"}
+
+
 def test_segmentation_is_the_likeliest():
     model = urls.fit()
     assert model.segment("cheappills") == ["cheap", "pills"] and model.segment("citynews") == ["city", "news"]
