@@ -1,6 +1,8 @@
 """Licence scans: a trained paragraph classifier whose findings templates confirm.
 
-A paragraph is a line. Its distinct word 1- and 2-grams are the features of a
+A paragraph is a line; a notice that is broken over lines is looked for in the
+joined words of the lines between two blank ones, comment marks left out, and judged
+from its first to its last shared shingle. A paragraph's distinct word 1- and 2-grams are the features of a
 multinomial logistic regression over licence families and an unknown class,
 trained here on templates, cut and mixed copies of them, and other sentences; a
 temperature fitted on mixtures that were not trained on calibrates it. A finding
@@ -163,8 +165,13 @@ def _strings(values: list[str]) -> Column:
     return F.split(F.lit("\u0001".join(values)), "\u0001")
 
 
-def _findings(model: LicenseModel, paragraphs: Column) -> Column:
-    """Array of (paragraph, family, probability, similarity) for the lines that the model gives to a family."""
+def _findings(model: LicenseModel, lines: Column) -> Column:
+    """Array of (paragraph, family, probability, similarity) for the lines (at, words) that the model gives to a family."""
+    return _judged(model, F.filter(lines, lambda p: F.arrays_overlap(p["words"], _strings(model.anchors))))
+
+
+def _judged(model: LicenseModel, own: Column) -> Column:
+    """The findings among runs of words (at, words)."""
     vocabulary = sorted(model.weights)
     keys = _strings(vocabulary)
     table = F.from_json(F.lit(str([model.weights[g] for g in vocabulary])), "array<array<double>>")
@@ -192,16 +199,93 @@ def _findings(model: LicenseModel, paragraphs: Column) -> Column:
         share = F.transform(F.element_at(templates, p["k"]), lambda t: F.when(F.size(t) == 1, F.contains(line, F.concat(F.lit(" "), t[0], F.lit(" "))).cast("double")).otherwise(F.size(F.array_intersect(t, own)) / F.size(t)))
         return F.struct(p["at"].alias("paragraph"), F.element_at(families, p["k"]).alias("family"), F.round(p["probability"], 6).alias("probability"), F.round(F.coalesce(F.array_max(share), F.lit(0.0)), 6).alias("similarity"))
 
-    own = F.transform(paragraphs, lambda p, i: F.struct(i.alias("at"), _words(p).alias("words")))
-    own = F.filter(own, lambda p: F.arrays_overlap(p["words"], _strings(model.anchors)))
     own = F.transform(F.transform(own, row), scored)
     own = F.filter(own, lambda p: (p["k"] < len(model.families)) & (p["probability"] >= MIN_PROBABILITY))
     return F.transform(own, confirmed)
 
 
+def _needed(model: LicenseModel) -> list[str]:
+    """Words of which a text that holds enough of any template has one at least.
+
+    A word that stands in more shingles than may be missing is in every such text;
+    of these the fewest that serve all templates are taken, rarer ones first.
+    """
+    sure = []
+    for t in (t for f in model.families for t in model.shingles.get(f, [])):
+        spare = len(t) - int(np.ceil(MIN_SIMILARITY * len(t) - 1e-9))
+        sure.append({w for x in t for w in x.split(" ") if w not in STOP and sum(w in y.split(" ") for y in t) > spare})
+    if not all(sure):
+        return model.anchors
+    common, out = {w for o in OTHERS for w in words_of(o)}, []
+    while sure:
+        word = max(sorted(set().union(*sure)), key=lambda w: (sum(w in x for x in sure) / (4 if w in common else 1)))
+        out.append(word)
+        sure = [x for x in sure if word not in x]
+    return out
+
+
+def _wrapped(model: LicenseModel, lines: Column, cuts: Column) -> Column:
+    """Findings like those of _findings for notices that run over line ends, from lines (at, words) and the places of blank ones.
+
+    Lines between blank ones are one paragraph. Where it holds enough of a template
+    that none of its lines holds alone, the words from the first to the last shared
+    shingle are judged like a line, and kept if confirmed, one for each family; paragraph
+    is the line they begin on.
+    """
+    all_templates = [t for f in model.families for t in model.shingles.get(f, [])]
+    templates = F.from_json(F.lit("[" + ",".join("[" + ",".join(f'"{x}"' for x in t) + "]" for t in all_templates) + "]"), "array<array<string>>")
+    known = _strings(sorted({x for t in all_templates for x in t}))
+    short = sorted({len(t[0].split(" ")) for t in all_templates if len(t) == 1})
+
+    def shingles(words: Column, size: int) -> Column:
+        return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1)), lambda i: F.concat_ws(" ", F.slice(words, i, size)))).otherwise(F.array().cast("array<string>"))
+
+    def hits(words: Column) -> Column:
+        """(shingle, its place, its words) for each shingle of a template, in order of size and place."""
+
+        def placed(n: int) -> Column:
+            return F.transform(shingles(words, n), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"), F.lit(n).alias("n")))
+
+        every = [placed(n) for n in sorted({SHINGLE, *short})]
+        return F.filter(F.concat(*every), lambda h: F.array_contains(known, h["x"]))
+
+    def spans(p: Column) -> Column:
+        """The words of each template that the paragraph holds and none of its lines does."""
+
+        def span(t: Column) -> Column:
+            own = F.filter(p["hits"], lambda h: F.array_contains(t, h["x"]))
+            return F.struct(F.array_min(F.transform(own, lambda h: h["i"])).alias("first"), F.array_max(F.transform(own, lambda h: h["i"] + h["n"])).alias("last"), share(t, p["hits"]).alias("share"))
+
+        def share(t: Column, held: Column) -> Column:
+            return F.size(F.array_intersect(t, F.transform(held, lambda h: h["x"]))) / F.size(t)
+
+        missing = F.filter(templates, lambda t: (share(t, p["hits"]) >= MIN_SIMILARITY) & ~F.exists(p["lines"], lambda l: share(t, hits(l["words"])) >= MIN_SIMILARITY))
+        every = F.transform(missing, span)
+        # One wording is part of another licence's too: where two overlap, the better held one stays.
+        own = F.filter(every, lambda a: ~F.exists(every, lambda b: (b["share"] > a["share"]) & (b["first"] < a["last"]) & (a["first"] < b["last"])))
+        return F.transform(own, lambda a: F.struct(F.element_at(p["ats"], a["first"]).alias("at"), F.slice(p["words"], a["first"], a["last"] - a["first"]).alias("words")))
+
+    at = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.slice(lines, F.element_at(cuts, k) + 2, F.element_at(cuts, k + 1) - F.element_at(cuts, k) - 1))
+    own = F.filter(at, lambda b: (F.size(b) > 1) & F.exists(b, lambda l: F.arrays_overlap(l["words"], _strings(_needed(model)))))
+    own = F.transform(own, lambda b: F.struct(b.alias("lines"), F.flatten(F.transform(b, lambda l: l["words"])).alias("words"), F.flatten(F.transform(b, lambda l: F.array_repeat(l["at"], F.size(l["words"])))).alias("ats")))
+    own = F.transform(own, lambda p: F.struct(p["lines"].alias("lines"), p["words"].alias("words"), p["ats"].alias("ats"), hits(p["words"]).alias("hits")))
+
+    def best(p: Column) -> Column:
+        """The likeliest confirmed finding of each family in a paragraph."""
+        sure = F.array_sort(F.transform(F.filter(_judged(model, spans(p)), lambda f: f["similarity"] >= MIN_SIMILARITY), lambda f: F.struct((-f["probability"]).alias("p"), f["paragraph"].alias("at"), f.alias("f"))))
+        return F.aggregate(sure, F.filter(F.transform(sure, lambda x: x["f"]), lambda f: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda f: f["family"] == x["f"]["family"]), acc).otherwise(F.concat(acc, F.array(x["f"]))))
+
+    return F.flatten(F.transform(F.filter(own, lambda p: F.size(p["hits"]) > 0), best))
+
+
 def scan(docs: DataFrame, model: LicenseModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, family (of the likeliest confirmed finding, else null), n_confirmed, n_unconfirmed, findings."""
-    found = documents(docs, id_col, text_col).select("doc_id", _findings(model or fit(), F.split("text", r"\r?\n")).alias("findings"))
+    model = model or fit()
+    lines = documents(docs, id_col, text_col).select("doc_id", F.transform(F.split("text", r"\r?\n"), lambda p, i: F.struct(i.alias("at"), _words(p).alias("words"))).alias("lines"))
+    blank = F.transform(F.filter("lines", lambda l: F.size(l["words"]) == 0), lambda l: l["at"])
+    cuts = lines.select("doc_id", "lines", F.concat(F.array(F.lit(-1)), blank, F.array(F.size("lines"))).alias("cuts"))
+    parts = cuts.select("doc_id", _findings(model, F.col("lines")).alias("own"), _wrapped(model, F.col("lines"), F.col("cuts")).alias("wrapped"))
+    found = parts.select("doc_id", F.concat("own", "wrapped").alias("findings"))
     sure = F.filter("findings", lambda f: f["similarity"] >= MIN_SIMILARITY)
     best = F.array_max(F.transform(sure, lambda f: F.struct(f["probability"].alias("p"), (-f["paragraph"]).alias("at"), f["family"].alias("family"))))
     return found.select("doc_id", best["family"].alias("family"), F.size(sure).alias("n_confirmed"), (F.size("findings") - F.size(sure)).alias("n_unconfirmed"), "findings")

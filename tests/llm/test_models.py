@@ -181,3 +181,19 @@ def test_license_lines_are_found(spark):
 def test_license_scan_has_no_python(spark, docs):
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Exchange" not in plan.split("Physical Plan")[-1].replace("Exchange RoundRobin", "").replace("Exchange SinglePartition", "")
+
+
+def test_wrapped_licenses_are_found(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    agpl = gpl.replace("GNU General", "GNU Affero General")
+    rows, want = [], []
+    for f, t in (("MIT", mit), ("BSD", bsd), ("GPL", gpl), ("AGPL", agpl)):
+        for own in (t, "\r\n".join(f" * {x}" for x in t.split("\n")), "Some text.\n\n" + t.replace("\n", "\n# ") + "\n\nThe end."):
+            rows.append((len(rows), own))
+            want.append(f)
+    rows.append((len(rows), bsd.replace("\n", "\n\n")))
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["family"] for r in got] == [*want, None]
+    assert all(r["n_confirmed"] == 1 for r in got[:-1])
