@@ -35,7 +35,7 @@ from motrac.llm.tokens import default_path, encoder, with_end
 MAGIC = b"TPLANE01"
 FOOTER = struct.Struct("<QIQIB8s")
 INDEX_SCHEMA = "shard int, path string, n_docs long, n_tokens long"
-READ_SCHEMA = "doc_id long, local_start long, n_tokens long, ids_crc32 long, shard int"
+READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -160,9 +160,11 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str | None = None
 
     A task writes under a name of its own; only files that the written index
     names count, so a task run twice after a lost executor does no harm. Files
-    that no index row names are removed at the end.
+    of this run that no index row names are removed at the end; other files in
+    the folder stay. Rows that share a doc_id, or have none, are told apart by
+    their place in the input, so that they can be dealt to several tasks.
     """
-    path = tokenizer_path or default_path()
+    path, own = tokenizer_path or default_path(), uuid.uuid4().hex
 
     def run(batches):
         from pyspark import TaskContext
@@ -175,7 +177,7 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str | None = None
                 if out is None:
                     fs, base = pafs.FileSystem.from_uri(folder)
                     fs.create_dir(base, recursive=True)
-                    name = f"tokens-{shard:06d}-{uuid.uuid4().hex}.tpl"
+                    name = f"tokens-{own}-{shard:06d}-{uuid.uuid4().hex}.tpl"
                     sink = fs.open_output_stream(f"{base}/{name}")
                     out = PlaneWriter(sink, block, bits)
                 keys = batch.column("doc_id").slice(lo, hi - lo)
@@ -185,18 +187,23 @@ def write_planes(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([out.n_docs], pa.int64()), "n_tokens": pa.array([out.n_tokens], pa.int64())})
 
-    ordered = documents(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    placed = documents(docs, id_col, text_col).withColumn("place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place")
     index = materialize(ordered.mapInArrow(run, INDEX_SCHEMA), "plane-index")
     live = {r["path"].rsplit("/", 1)[1] for r in index.select("path").toLocalIterator()}
     fs, base = pafs.FileSystem.from_uri(folder)
     for info in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
-        if info.is_file and info.base_name.endswith(".tpl") and info.base_name not in live:
+        if info.is_file and info.base_name.startswith(f"tokens-{own}-") and info.base_name not in live:
             fs.delete_file(info.path)
     return index
 
 
 def read_planes(index: DataFrame) -> DataFrame:
-    """One row per stored document: doc_id, start, n_tokens, ids_crc32, from the files alone."""
+    """One row per stored document: doc_id, start, n_tokens, ids_crc32, from the files alone.
+
+    Where a file's ids begin among all comes from the index of files, which is
+    read with the file names; no document meets the index again.
+    """
 
     def run(batches):
         for batch in batches:
@@ -206,14 +213,13 @@ def read_planes(index: DataFrame) -> DataFrame:
                     r = PlaneReader(f, f.size())
                     crc = np.fromiter(r.crcs(), np.int64, len(r.sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r.doc_ids, pa.int64(), mask=~r.known), pa.array(np.cumsum(r.sizes) - r.sizes), pa.array(r.sizes), pa.array(crc), pa.array(np.full(len(crc), row["shard"]), pa.int32())],
-                    names=["doc_id", "local_start", "n_tokens", "ids_crc32", "shard"],
+                    [pa.array(r.doc_ids, pa.int64(), mask=~r.known), pa.array(row["base"] + np.cumsum(r.sizes) - r.sizes), pa.array(r.sizes), pa.array(crc)],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = index.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    files = index.select("shard", "path").repartition(max(1, index.count()), "shard")
-    return files.mapInArrow(run, READ_SCHEMA).join(bases, "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    files = index.select("shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    return files.repartition(max(1, index.count()), "shard").select("path", "base").mapInArrow(run, READ_SCHEMA)
 
 
 def plane_round_trip(docs: DataFrame, folder: str | None = None, **kw) -> DataFrame:

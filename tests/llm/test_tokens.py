@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from motrac.llm import packing, planes, tokens, trie
@@ -64,6 +65,19 @@ def test_planes_operator(docs, no_docs, library, texts, tmp_path):
     assert planes.plane_round_trip(no_docs).count() == 0
 
 
+def test_planes_leave_other_files_alone_and_divide_rows_of_one_id(spark, docs, texts, tmp_path):
+    other = tmp_path / "tokens-of-another-run.tpl"
+    other.write_bytes(b"x")
+    same = docs.withColumn("doc_id", F.lit(None).cast("long")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = planes.write_planes(same, f"file://{tmp_path}")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert other.exists() and len(list(tmp_path.glob("*.tpl"))) == 1 + index.count() and index.count() > 1
+    assert planes.read_planes(index).count() == len(texts)
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_plane_file_random_access(bits):
     rng = np.random.default_rng(1)
