@@ -2,9 +2,10 @@
 
 White space never enters a token of the tokenizers read here and no normal form
 composes across an ASCII space, so a text's ids are those of its space-separated
-chunks in a row. A chunk of plain Latin letters, digits and marks is lower-cased
-and cut into words by the tokenizer's own pattern, and each distinct word goes
-once through the library's model; any other chunk goes through the whole library.
+chunks in a row. The distinct chunks of a block that are of plain Latin letters,
+digits and marks are lower-cased and cut into words together, by the tokenizer's
+own pattern, and each distinct word goes once through the library's model; any
+other chunk goes through the whole library.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ import numpy as np
 
 from motrac.llm.common import chunk_codes, held, text_blocks
 
-#: Latin letters that no normal form changes and that lower-case by themselves, digits and ASCII marks.
+#: Latin letters that no normal form changes and that lower-case by themselves, digits and ASCII marks; and lines of them.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿĀ-įĲ-ſ]+")
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-ÿĀ-įĲ-ſ]*")
+#: The tokenizer's own pattern for lower-cased plain text, and line ends.
+WORDS = re.compile(r"[a-zß-öø-ſ]+|\n|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\[-`{-~]+")
+#: Stands for a line end among ids; no vocabulary is that large.
+LINE_END = 0xFFFFFFFF
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -40,11 +45,11 @@ def byte_letters() -> list[str]:
 class ChunkEncoder:
     """Texts to unsigned 32-bit ids.
 
-    max_entries bounds the memory of remembered chunks and words; when it is
+    max_entries bounds the memory of remembered words and odd chunks; when it is
     reached the memory is emptied and fills again, which changes no result.
     """
 
-    def __init__(self, path: str, max_entries: int = 300_000):
+    def __init__(self, path: str, max_entries: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -61,44 +66,68 @@ class ChunkEncoder:
         pre = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         self.by_word = (pre[0].get("pattern") or {}).get("Regex") == PATTERN and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.letters = byte_letters()
+        self.line_end = array("I", [LINE_END]).tobytes()
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.max_entries = max_entries
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
-            ids = self.words[word] = self._ids(mapped)
-        return ids
-
-    def _ids(self, mapped: str) -> bytes:
+        """The ids of a lower-cased plain word, four bytes each."""
+        mapped = word if word.isascii() else "".join([self.letters[b] for b in word.encode("utf-8")])
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
-    def chunk(self, chunk: str) -> bytes:
-        """The chunk's ids, four bytes each."""
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of any chunk by the whole library."""
         got = self.chunks.get(chunk)
         if got is None:
-            if self.by_word and PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-                found = WORDS.findall(chunk.lower())
-                got = self._word(found[0]) if len(found) == 1 else b"".join([self._word(w) for w in found])
-            else:
-                got = array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
-            self.chunks[chunk] = got
+            got = self.chunks[chunk] = array("I", self.tok.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
         return got
 
+    def _odd(self, distinct: list[str]) -> list[int]:
+        """The places of chunks that need the whole library."""
+        if not self.by_word:
+            return list(range(len(distinct)))
+        joined = "\n".join(distinct)
+        special = [s for s in self.special if s in joined]
+        if not special and PLAIN_LINES.fullmatch(joined):
+            return []
+        return [i for i, c in enumerate(distinct) if c and not PLAIN.fullmatch(c) or any(s in c for s in special)]
+
+    def _distinct(self, distinct: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pool of ids, where each chunk's begin, how many it has)."""
+        odd = self._odd(distinct)
+        plain = distinct
+        if odd:
+            plain = list(distinct)
+            for i in odd:
+                plain[i] = ""
+        found = WORDS.findall("\n".join(plain).lower())
+        new = set(found) - self.words.keys()
+        if len(self.words) + len(new) > self.max_entries:
+            self.words.clear()
+            new = set(found)
+        self.words["\n"] = self.line_end
+        new.discard("\n")
+        for w in new:
+            self.words[w] = self._word(w)
+        pool = np.frombuffer(b"".join(map(self.words.__getitem__, found)), np.uint32)
+        ends = np.append(np.flatnonzero(pool == LINE_END), len(pool))[: len(distinct)]
+        starts = np.concatenate([[0], ends[:-1] + 1])[: len(distinct)]
+        sizes = ends - starts
+        if odd:
+            if len(self.chunks) + len(odd) > self.max_entries:
+                self.chunks.clear()
+            own = [self._chunk(distinct[i]) for i in odd]
+            n = np.fromiter(map(len, own), np.int64, len(own)) // 4
+            starts[odd], sizes[odd] = len(pool) + np.cumsum(n) - n, n
+            pool = np.concatenate([pool, np.frombuffer(b"".join(own), np.uint32)])
+        return pool, starts, sizes
+
     def encode_array(self, texts):
         """For an Arrow string array: (ids: uint32 array, ends: offsets of len(texts) + 1), block by block with the rows' range."""
         for lo, hi in text_blocks(texts):
             distinct, codes, offsets = chunk_codes(texts.slice(lo, hi - lo))
-            if len(self.chunks) + len(distinct) > self.max_entries:
-                self.chunks.clear()
-            if len(self.words) + len(distinct) > self.max_entries:
-                self.words.clear()
-            each = [self.chunk(c) for c in distinct]
-            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
-            pool = np.frombuffer(b"".join(each), np.uint32)
-            starts = np.cumsum(sizes) - sizes
+            pool, starts, sizes = self._distinct(distinct)
             n = sizes[codes]
             ends = np.concatenate([[0], np.cumsum(n)])
             take = np.repeat(starts[codes] - ends[:-1], n) + np.arange(ends[-1])
@@ -110,7 +139,7 @@ class ChunkEncoder:
         return [int(i) for _, _, ids, _ in self.encode_array(pa.array([text], pa.string())) for i in ids]
 
 
-def encoder(path: str, max_entries: int = 300_000) -> ChunkEncoder:
+def encoder(path: str, max_entries: int = 400_000) -> ChunkEncoder:
     """The Python worker's encoder, kept from task to task."""
     return held(("encoder", path, max_entries), lambda: ChunkEncoder(path, max_entries))
 
