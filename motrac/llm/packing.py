@@ -4,9 +4,16 @@ Documents are cut only where they exceed the capacity. The pieces are dealt to
 partitions of bounded size, each packed by best-fit decreasing. A lower bound
 from dual-feasible functions certifies a partition whose number of bins equals
 it. Partitions with a gap exchange all their documents; a certified one gives
-only its emptiest bin, as its bound rounds up.
+those of its bins that are not full, as what each lacks another may have.
 Best-fit decreasing is run again over what was exchanged, and a result is taken
-only if it has fewer bins than came in, so no round makes a packing worse.
+only if it has fewer bins than came in, so no round makes a packing worse. The
+exchange ends when no partition has a gap, when all sequences together are as
+many as the bound of all pieces, when one partition holds all that is left, or
+when partitions of the largest size have saved nothing.
+
+A certified partition without some of its bins is still packed as well as can be:
+that many sequences more would hold their pieces. So each row tells whether its
+sequence is of a certified partition, and certificate() compares the whole.
 
 Edge cases: a null or empty text is the end id alone (one piece of length 1);
 repeated rows are packed each; rows with a null doc_id are packed like others;
@@ -27,9 +34,8 @@ from motrac.llm.common import documents, materialize
 from motrac.llm.tokens import default_path, encoder, with_end
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Pieces that one partition packs in the first round; four times as many in each later one, up to the most.
+#: Pieces that one partition packs in the first round; four times as many in each later one, up to what a task holds at once.
 PARTITION_PIECES, MOST_PIECES = 4096, 1 << 18
-MAX_ROUNDS = 8
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, max_len: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,7 +121,7 @@ def _deal(seed: int, n: int, *cols):
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(n)).cast("int")
 
 
-def _packer(cols: list[str], capacity: int, rnd: int, last: bool):
+def _packer(cols: list[str], capacity: int, rnd: int):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["_part"].iloc[0])
         pdf = pdf.iloc[np.argsort(pdf["_uid"].to_numpy(), kind="stable")]
@@ -126,48 +132,49 @@ def _packer(cols: list[str], capacity: int, rnd: int, last: bool):
             ids, offsets = pdf["sequence_id"].to_numpy(), pdf["offset"].to_numpy()
             bins = np.unique(ids, return_inverse=True)[1]
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        released = np.zeros(len(fill), bool)
-        if not last:
-            if len(fill) > lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity):
-                released[:] = True
-            else:
-                released[np.argmin(fill)] = fill.min() < capacity
-        return pdf[cols].assign(sequence_id=ids, offset=offsets, _released=released[bins])
+        certified = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        released = (fill < capacity) | (not certified)
+        return pdf[cols].assign(sequence_id=ids, offset=offsets, certified=certified, _released=released[bins])
 
     return one
 
 
-def pack(items: DataFrame, capacity: int = 4096, partition_pieces: int = PARTITION_PIECES) -> DataFrame:
-    """Place rows with a length of 1..capacity in sequences: adds sequence_id and offset.
+def pack(items: DataFrame, capacity: int = 4096, partition_pieces: int = PARTITION_PIECES, most_pieces: int = MOST_PIECES) -> DataFrame:
+    """Place rows with a length of 1..capacity in sequences: adds sequence_id, offset and certified.
 
     Each round is written to the shared folder. A round deals whole bins to
-    partitions that are larger each time, until one of them packs the rest or
-    they hold MOST_PIECES rows each.
+    partitions of partition_pieces rows, four times as many each time up to most_pieces.
     """
     cols = items.columns
     pool = materialize(items.withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    out_schema = f"{fields}, _uid long, sequence_id long, offset long, _released boolean"
+    out_schema = f"{fields}, _uid long, sequence_id long, offset long, certified boolean, _released boolean"
+    bound = global_bound(pool, capacity)
     done: list[DataFrame] = []
-    rows, before = pool.count(), 0
-    for rnd in range(MAX_ROUNDS):
-        parts = max(1, -(-rows // min(partition_pieces << 2 * rnd, max(partition_pieces, MOST_PIECES))))
+    rows, settled, before = pool.count(), 0, None
+    for rnd in range(1 << 11):
+        size = max(1, min(partition_pieces << 2 * min(rnd, 16), max(partition_pieces, most_pieces)))
+        parts = max(1, -(-rows // size))
         dealt = pool.withColumn("_part", _deal(rnd, parts, "_uid" if rnd == 0 else "sequence_id"))
-        last = parts in (1, before) or rnd == MAX_ROUNDS - 1
-        before = parts
-        one = _packer([*cols, "_uid"], capacity, rnd, last)
-        packed = materialize(dealt.groupBy("_part").applyInPandas(one, out_schema), f"packed-{rnd}")
-        done.append(packed.where("not _released"))
-        if last:
+        packed = materialize(dealt.groupBy("_part").applyInPandas(_packer([*cols, "_uid"], capacity, rnd), out_schema), f"packed-{rnd}")
+        first = F.col("offset") == 0
+        r = packed.agg(F.count_if(first).alias("bins"), F.count_if(first & ~F.col("_released")).alias("kept"), F.count_if("_released").alias("rows")).first()
+        stuck = size >= most_pieces and before is not None and r["bins"] >= before
+        if parts == 1 or not r["rows"] or settled + r["bins"] == bound or stuck:
+            done.append(packed)
             break
+        done.append(packed.where("not _released"))
+        settled, before, rows = settled + r["kept"], r["bins"] - r["kept"], r["rows"]
         pool = packed.where("_released")
-        rows = pool.count()
-        if not rows:
-            break
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select(*cols, "sequence_id", "offset")
+    return out.select(*cols, "sequence_id", "offset", "certified")
+
+
+def certificate(packed: DataFrame, capacity: int = 4096) -> tuple[int, int]:
+    """(sequences, fewest that any packing of these rows needs); equal numbers prove the packing best."""
+    return packed.where("offset = 0").count(), global_bound(packed, capacity)
 
 
 def global_bound(items: DataFrame, capacity: int = 4096) -> int:
@@ -179,5 +186,5 @@ def global_bound(items: DataFrame, capacity: int = 4096) -> int:
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Encode, cut and pack whole texts: PIECE_SCHEMA with sequence_id and offset."""
+    """Encode, cut and pack whole texts: PIECE_SCHEMA with sequence_id, offset and certified."""
     return pack(pieces(docs, tokenizer_path, capacity, end_id), capacity)

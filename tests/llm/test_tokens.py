@@ -125,6 +125,19 @@ def test_packing_exchange_beats_one_round(spark):
     whole = packing.best_fit_decreasing(np.array(lengths), 100)[0].max() + 1
     alone = sum(packing.best_fit_decreasing(np.array(lengths[i::10]), 100)[0].max() + 1 for i in range(10))
     assert bound <= n <= whole * 1.01 and n < alone
+    assert packing.certificate(spark.createDataFrame([(r["length"], r["offset"]) for r in got], "length long, offset long"), 100) == (n, bound)
+
+
+def test_packing_exchanges_until_nothing_is_saved(spark):
+    """Pieces over half a sequence, and others of which just one fits beside each: dealt at random, most partitions have too many of one kind."""
+    lengths = [60] * 400 + [40] * 400
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "k long, length long").repartition(4)
+    got = packing.pack(items, capacity=100, partition_pieces=50, most_pieces=100).collect()
+    n = _check_packing(got, 100)
+    assert sorted(r["k"] for r in got) == list(range(800))
+    assert n == 400 == packing.global_bound(items, 100)
+    whole = packing.pack(items, capacity=100).collect()
+    assert _check_packing(whole, 100) == 400 and all(r["certified"] for r in whole)
 
 
 def _fits(sizes, capacity, n):
