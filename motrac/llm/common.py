@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motrac.sources.scratch import materialize, scratch_path
 
-__all__ = ["chunk_codes", "documents", "held", "materialize", "scratch_path", "table", "text_blocks", "windows"]
+__all__ = ["chunk_codes", "documents", "held", "materialize", "scratch_path", "spread_join", "table", "text_blocks", "windows"]
 
 
 _HELD: dict = {}
@@ -41,6 +41,23 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with keyed, which has one row a key and the number of rows that it meets, so that no key is hot.
+
+    A key that meets over a 256th of total rows is broadcast: there are at most
+    256 of them, whatever the size. All others meet in a plain join. Both frames are read
+    more than once and should be written ones. how: inner, left or left_anti.
+    """
+    if total is None:
+        total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = max(16, total // 256)
+    often, others = F.broadcast(keyed.where(F.col(count) > hot)), keyed.where(F.col(count) <= hot)
+    rest = rows.join(often.select(key), key, "left_anti")
+    if how == "left_anti":
+        return rest.join(others.select(key), key, "left_anti")
+    return rows.join(often, key).unionByName(rest.join(others, key, how))
+
+
 _SPACE = b" \t\n\x0b\x0c\r"
 
 

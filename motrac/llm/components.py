@@ -3,8 +3,9 @@
 A large star hangs each node's larger neighbours on the smallest one it knows; a
 small star does so with the smaller ones. Both keep components as they are, and
 their alternation ends in stars around the smallest node. Each round is written
-to the shared folder. Minima are aggregated before the shuffle, and a node with
-very many links meets its minimum in a plain join that Spark can split.
+to the shared folder. Minima are aggregated before the shuffle, and the few nodes
+with very many links get their minimum by broadcast, so that no star's centre
+gathers its links in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motrac.llm.common import materialize
+from motrac.llm.common import materialize, spread_join
 
 MAX_ROUNDS = 60
 
@@ -91,10 +92,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("v > u"), least, "u", "n", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low, "u", "n", 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
     else:
         raise RuntimeError("components did not settle")

@@ -10,7 +10,9 @@ filed under its partition's bits with each choice of t of them left out, so two
 that differ there in t bits at most meet. Where they meet, all bits are compared.
 
 Fingerprints are linked as distinct values. Within a key no pair is written out:
-each component of what is linked there gives a star.
+each component of what is linked there gives a star. A key under which more than
+BLOCK values are filed is divided in blocks of them, and each two blocks meet in a
+cell of their own, so that no task holds or compares more than two blocks.
 
 Edge cases: a null or empty text has fingerprint zero and is linked like any
 other; under four words the whole sequence is the one shingle; repeated rows
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motrac.llm.common import documents, materialize, windows
+from motrac.llm.common import documents, materialize, spread_join, windows
 from motrac.llm.components import components, min_labels, union
 
 BITS = 64
 #: Cost of one filed key and of one compared pair, in about microseconds.
 KEY_COST, PAIR_COST = 2.0, 0.02
+#: Values of one key that a task compares at once; longer keys are divided.
+BLOCK = 8192
 _TABLE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -245,25 +249,37 @@ def _probe(tau: int):
     return run
 
 
-def links(fps: DataFrame, tau: int = 4) -> DataFrame:
+def _cells(filed: DataFrame, block: int) -> DataFrame:
+    """(key, fp) rows with keys of over block values divided: every two values of a key still meet under one key."""
+    heavy = materialize(filed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "heavy-keys")
+    if not heavy.head(1):
+        return filed
+    n = F.ceil(F.col("n") / block)
+    own = F.pmod(F.xxhash64(F.lit(11), "fp"), n)
+    met = spread_join(filed, heavy, "key", "n").select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("other"))
+    met = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    return spread_join(filed, heavy, "key", "n", how="left_anti").unionByName(met)
+
+
+def links(fps: DataFrame, tau: int = 4, block: int = BLOCK) -> DataFrame:
     """Star links (a, b) with the components of distinct fingerprints at most tau bits apart."""
     n, gram = bit_counts(fps)
     keep = masks(plan(n, gram, tau))
     filed = fps.select("fp", F.explode(F.array(*map(F.lit, keep))).alias("mask")) if keep else fps.select("fp", F.lit(0).cast("long").alias("mask"))
     filed = filed.select(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_probe(tau), "a long, b long")
+    return _cells(filed, block).repartition("key").sortWithinPartitions("key").mapInArrow(_probe(tau), "a long, b long")
 
 
-def labelled(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def labelled(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, fp, root (the least fingerprint of the component, which names it), component_id."""
     rows = materialize(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
-    values = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "values")
-    roots = components(links(values.select("fp"), tau))
-    named = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    values = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "values")
+    roots = components(links(values.select("fp"), tau, block))
+    named = values.join(roots, values["fp"] == roots["node"], "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_value = named.join(least, "root").select("fp", "root", "component_id")
-    return rows.join(by_value, "fp").select("doc_id", "fp", "root", "component_id")
+    least = materialize(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("values")), "least")
+    by_value = materialize(spread_join(named, least, "root", "values").select("fp", "n", "root", "component_id"), "classes")
+    return spread_join(rows, by_value, "fp", "n").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, size: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
