@@ -8,7 +8,8 @@ at most eps outside that cell's radius; there it is replicated. Of two cells it
 is the smaller number that gets the other's vectors if their sum is even, else
 the larger, so each pair meets once and no cell gets all visitors. Cells join
 independently.
-A large cell is divided in blocks, and its vectors go to each later block.
+A large cell is divided in blocks, and its vectors go to each later block: beyond
+the most pivots there are more blocks a cell, never fewer comparisons.
 
 Vectors are screened in single precision with a margin that covers its error and
 then compared in double precision. Equal vectors are one with a weight, so copies
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motrac.llm.common import materialize
+from motrac.llm.common import materialize, spread_join
 from motrac.llm.components import components, union
 
 #: Own vectors that one block of a cell holds, and the most pivots.
@@ -163,7 +164,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     rows = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.transform("v", lambda x: x.cast("string"))), 256)))
     rows = materialize(rows, "vectors")
     distinct = rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep_id"), F.first("v").alias("v"), F.count("*").alias("weight"))
-    distinct = materialize(distinct.withColumn("rep", F.xxhash64("key")), "distinct")
+    distinct = materialize(distinct.withColumn("rep", F.monotonically_increasing_id()), "distinct")
     sizes = [(r["d"], r["n"]) for r in distinct.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()]
 
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
@@ -171,7 +172,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     for dim, n in sizes:
         own = distinct.where(F.size("v") == dim)
         k = int(min(MAX_PIVOTS, max(1, n // (BLOCK // 2))))
-        chosen = own.orderBy("rep").limit(k).select("v").collect()
+        chosen = own.orderBy(F.xxhash64("key"), "rep").limit(k).select("v").collect()
         pivots = _unit(np.array([r["v"] for r in chosen], np.float64))
         known = own.mapInArrow(_deal(pivots, None, {}, eps), "cell int, d double").groupBy("cell").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()
         radius = np.full(len(pivots), -np.inf)
@@ -193,9 +194,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     roots = components(links.where("root is not null").select("rep", "root"), "rep", "root")
     named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("key", "rep", "rep_id", "weight", F.coalesce("root", "rep").alias("root"))
     named = materialize(named.join(counts, "rep", "left"), "vector-roots")
-    least = named.groupBy("root").agg(F.min("rep_id").alias("component_id"))
-    classes = named.join(least, "root").select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = rows.select("vec_id", "key").join(classes, "key", "left")
+    least = materialize(named.groupBy("root").agg(F.min("rep_id").alias("component_id"), F.count("*").alias("vectors")), "vector-least")
+    classes = spread_join(named, least, "root", "vectors").select("key", "weight", "component_id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    out = spread_join(rows.where("key is not null").select("vec_id", "key"), materialize(classes, "vector-classes"), "key", "weight").select("vec_id", "n_links", "component_id")
+    alone = rows.where("key is null").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
+    out = out.unionByName(alone)
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
