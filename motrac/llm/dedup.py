@@ -3,9 +3,10 @@
 Tasks that read texts gather digests in memtables and flush them as runs sorted
 by digest, a row for each digest of a run with all its identifiers; a digest
 that a third of all rows share so reaches the shuffle once a run. Runs are dealt
-by digest to shards. A shard is a log-structured merge index: a memtable that is
-flushed to sorted runs with Bloom filters, looked up through the filters, and
-compacted so that the smallest identifier stays. Digests that more than one row
+by digest to shards, as many as rows ask for. A shard is a log-structured merge
+index: a memtable that is flushed to sorted runs with Bloom filters in the shared
+folder, looked up through the filters, and compacted so that the smallest
+identifier stays. Digests that more than one row
 has are hits, and their texts are compared byte by byte in a second pass that a
 filter of all hits keeps from moving other texts. Should two texts share a
 digest, the rows of that digest are grouped by their texts.
@@ -23,17 +24,22 @@ import bisect
 import hashlib
 import heapq
 import re
+import uuid
 from collections.abc import Callable
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motrac.llm.common import documents, materialize
+from motrac.llm.common import documents, materialize, scratch_path, spread_join
 
 SPACES = re.compile(rb"[\x20\x09-\x0D]+")
 RUN_SCHEMA = "digest binary, ids array<long>, min_id long, entry long"
+#: Digests that a shard's memtable holds before it becomes a run, and entries that one shard indexes.
+MEMTABLE, SHARD_ROWS = 100_000, 4_000_000
 INDEX_SCHEMA = "digest binary, keep_id long, keep_entry long, group_size long, n_entries long"
 NONE = (1 << 63) - 1
 
@@ -66,13 +72,57 @@ class Bloom:
         return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self._places(digest))
 
 
+class Run:
+    """A sorted run in a file of the shared folder: blocks of rows, the first digest of each, and a filter in memory."""
+
+    KINDS = [pa.binary(), *[pa.int64()] * 4]
+    SCHEMA = pa.schema(list(zip(["digest", "keep_id", "keep_entry", "group_size", "n_entries"], KINDS)))
+
+    def __init__(self, folder: str, items, n: int, block: int = 4096):
+        self.fs, base = pafs.FileSystem.from_uri(folder)
+        self.fs.create_dir(base, recursive=True)
+        self.path, self.bloom, self.firsts, self.rows = f"{base}/{uuid.uuid4().hex}.run", Bloom(n), [], 0
+        with self.fs.open_output_stream(self.path) as sink, pa.ipc.new_file(sink, self.SCHEMA) as out:
+            for part in batched(items, block):
+                self.firsts.append(part[0][0])
+                self.rows += len(part)
+                for k, _ in part:
+                    self.bloom.add(k)
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(k, *v) for k, v in part]), self.KINDS)], schema=self.SCHEMA))
+
+    def _block(self, f, k: int) -> list[tuple]:
+        batch = pa.ipc.open_file(f).get_batch(k)
+        return list(zip(*[c.to_pylist() for c in batch.columns]))
+
+    def get(self, digest: bytes) -> tuple | None:
+        if not self.firsts or digest not in self.bloom:
+            return None
+        with self.fs.open_input_file(self.path) as f:
+            rows = self._block(f, max(0, bisect.bisect_right(self.firsts, digest) - 1))
+        i = bisect.bisect_left(rows, digest, key=lambda r: r[0])
+        return rows[i][1:] if i < len(rows) and rows[i][0] == digest else None
+
+    def items(self):
+        """All rows in order, one block in memory."""
+        with self.fs.open_input_file(self.path) as f:
+            for k in range(len(self.firsts)):
+                for r in self._block(f, k):
+                    yield r[0], r[1:]
+
+    def drop(self) -> None:
+        self.fs.delete_file(self.path)
+
+
 class MergeIndex:
-    """digest -> (smallest id, its entry, rows, entries): a memtable over sorted runs with filters."""
+    """digest -> (smallest id, its entry, rows, entries): a memtable over sorted runs with filters.
+
+    Memory holds the memtable, a block of each run and the filters; runs are files of the given folder.
+    """
 
-    def __init__(self, memtable: int = 50_000, fan_in: int = 4):
+    def __init__(self, folder: str, memtable: int = MEMTABLE, fan_in: int = 8):
         self.memtable: dict[bytes, tuple] = {}
-        self.runs: list[tuple[list[bytes], list[tuple], Bloom]] = []
-        self.limit, self.fan_in = memtable, fan_in
+        self.runs: list[Run] = []
+        self.folder, self.limit, self.fan_in = folder, memtable, fan_in
 
     @staticmethod
     def merge(x: tuple, y: tuple) -> tuple:
@@ -86,43 +136,47 @@ class MergeIndex:
 
     def get(self, digest: bytes) -> tuple | None:
         found = self.memtable.get(digest)
-        for keys, values, bloom in self.runs:
-            if digest in bloom:
-                i = bisect.bisect_left(keys, digest)
-                if i < len(keys) and keys[i] == digest:
-                    found = values[i] if found is None else self.merge(found, values[i])
+        for run in self.runs:
+            own = run.get(digest)
+            if own is not None:
+                found = own if found is None else self.merge(found, own)
         return found
 
     def flush(self) -> None:
         if self.memtable:
-            self._add(sorted(self.memtable.items()))
+            self.runs.append(Run(self.folder, sorted(self.memtable.items()), len(self.memtable)))
             self.memtable = {}
         if len(self.runs) >= self.fan_in:
             self.compact()
 
-    def _add(self, items: list) -> None:
-        bloom = Bloom(len(items))
-        for k, _ in items:
-            bloom.add(k)
-        self.runs.append(([k for k, _ in items], [v for _, v in items], bloom))
+    def _merged(self, *more):
+        """All runs in one order; of equal digests the smallest identifier stays."""
+        last = None
+        for k, v in heapq.merge(*[r.items() for r in self.runs], *more, key=lambda x: x[0]):
+            if last and last[0] == k:
+                last = (k, self.merge(last[1], v))
+                continue
+            if last:
+                yield last
+            last = (k, v)
+        if last:
+            yield last
 
     def compact(self) -> None:
-        """All runs in one; of equal digests the smallest identifier stays."""
-        out: list = []
-        for k, v in heapq.merge(*[zip(keys, values) for keys, values, _ in self.runs]):
-            if out and out[-1][0] == k:
-                out[-1] = (k, self.merge(out[-1][1], v))
-            else:
-                out.append((k, v))
-        self.runs = []
-        self._add(out)
+        """All runs in one file; the old ones go."""
+        new = Run(self.folder, self._merged(), sum(r.rows for r in self.runs))
+        for r in self.runs:
+            r.drop()
+        self.runs = [new]
 
     def items(self):
-        self.flush()
-        if len(self.runs) > 1:
-            self.compact()
-        for keys, values, _ in self.runs:
-            yield from zip(keys, values)
+        """All digests in order; what the memtable holds is merged from memory."""
+        yield from self._merged(sorted(self.memtable.items()))
+
+    def close(self) -> None:
+        for r in self.runs:
+            r.drop()
+        self.runs, self.memtable = [], {}
 
 
 def _runs(digest: Callable[[bytes], bytes], memtable_rows: int):
@@ -154,29 +208,26 @@ def _runs(digest: Callable[[bytes], bytes], memtable_rows: int):
     return run
 
 
-def _shard(batches):
-    index = MergeIndex()
-    for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("digest", "min_id", "entry", "n")]
-        for d, m, e, n in zip(*cols):
-            index.put(d, (NONE if m is None else m, e, n, 1))
-    out: list = []
-    for d, (m, e, n, k) in index.items():
-        out.append((d, None if m == NONE else m, e, n, k))
-        if len(out) == 50_000:
-            yield _rows(out)
-            out = []
-    if out:
-        yield _rows(out)
+def _shard(folder: str, memtable: int):
+    def run(batches):
+        index = MergeIndex(folder, memtable)
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("digest", "min_id", "entry", "n")]
+            for d, m, e, n in zip(*cols):
+                index.put(d, (NONE if m is None else m, e, n, 1))
+        for part in batched(index.items(), 50_000):
+            yield _rows([(d, None if m == NONE else m, e, n, k) for d, (m, e, n, k) in part])
+        index.close()
+
+    return run
 
 
 def _rows(rows: list) -> pa.RecordBatch:
-    kinds = [pa.binary(), *[pa.int64()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["digest", "keep_id", "keep_entry", "group_size", "n_entries"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), Run.KINDS)], schema=Run.SCHEMA)
 
 
 def _filter_of(hits: DataFrame, n_bits: int):
-    """One Bloom filter of all digests, of at most 8 MB; each task makes its own and the driver joins them one at a time."""
+    """One Bloom filter of all digests; at most 64 tasks make their own of at most 8 MB, and the driver joins them one at a time."""
 
     def run(batches):
         bloom = Bloom(0)
@@ -187,7 +238,7 @@ def _filter_of(hits: DataFrame, n_bits: int):
         yield pa.RecordBatch.from_pydict({"bits": pa.array([bytes(bloom.bits)], pa.binary())})
 
     bits = None
-    for r in hits.select("digest").mapInArrow(run, "bits binary").toLocalIterator():
+    for r in hits.select("digest").coalesce(64).mapInArrow(run, "bits binary").toLocalIterator():
         own = np.frombuffer(r["bits"], np.uint8)
         bits = own.copy() if bits is None else np.bitwise_or(bits, own, out=bits)
     bloom = Bloom(0)
@@ -222,16 +273,22 @@ def _witnesses(digest: Callable[[bytes], bytes], bloom, memtable_bytes: int = 32
     return run
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256, memtable_rows: int = 200_000) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], bytes] = sha256, memtable_rows: int = 200_000, memtable: int = MEMTABLE) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    The filter of hits has 12 bits for each up to 8 MB. Beyond, more texts pass it
+    without being hits; they are moved and compared in vain, and no answer changes.
+    """
     spark = docs.sparkSession
     texts = documents(docs, id_col, text_col)
     runs = materialize(texts.mapInArrow(_runs(digest, memtable_rows), RUN_SCHEMA), "runs")
-    shards = runs.select("digest", "min_id", "entry", F.size("ids").cast("long").alias("n")).repartition("digest")
-    index = materialize(shards.mapInArrow(_shard, INDEX_SCHEMA), "index")
+    entries = runs.select("digest", "min_id", "entry", F.size("ids").cast("long").alias("n"))
+    n_entries = runs.count()
+    shards = max(1, -(-n_entries // SHARD_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_entries // 16_384)))
+    index = materialize(entries.repartition(shards, "digest").mapInArrow(_shard(scratch_path(spark, "index-runs"), memtable), INDEX_SCHEMA), "index")
 
     hits = index.where("group_size > 1")
-    n_hits, n_entries = index.agg(F.count_if(F.col("group_size") > 1), F.coalesce(F.sum("n_entries"), F.lit(0))).first()
+    n_hits = hits.count()
     bloom = spark.sparkContext.broadcast(_filter_of(hits, max(1 << 16, min(1 << 26, n_hits * 12))))
     witness = texts.mapInArrow(_witnesses(digest, bloom), "digest binary, text binary")
     collided = witness.groupBy("digest", "text").agg(F.lit(1).alias("x")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
@@ -244,10 +301,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _answers(runs: DataFrame, index: DataFrame, n_entries: int) -> DataFrame:
-    """Each row's group. At most 256 digests have over a 256th of all entries: these are broadcast, so none is hot in the join."""
-    hot = max(16, n_entries // 256)
-    often = F.broadcast(index.where(F.col("n_entries") > hot))
-    joined = runs.join(often, "digest").unionByName(runs.join(often.select("digest"), "digest", "left_anti").join(index.where(F.col("n_entries") <= hot), "digest"))
+    """Each row's group."""
+    joined = spread_join(runs, index, "digest", "n_entries", n_entries)
     rows = joined.select("digest", "keep_id", "group_size", "entry", "keep_entry", "min_id", "ids", F.posexplode("ids").alias("pos", "doc_id"))
     first = F.coalesce(F.array_position("ids", F.col("min_id")), F.lit(1)) - 1
     return rows.select("digest", "doc_id", "keep_id", "group_size", ((F.col("entry") == F.col("keep_entry")) & (F.col("pos") == first)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -4,10 +4,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow.fs as pafs
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from motrac.llm import components, dedup, rangejoin, simhash
+from motrac.llm import common, components, dedup, rangejoin, simhash
+from motrac.llm.common import scratch_path
 
 
 def _groups(nodes, linked):
@@ -67,16 +70,39 @@ def test_exact_duplicates_hot_group(spark):
     assert sum(v[2] for v in got.values()) == len({t for _, t in rows})
 
 
-def test_merge_index():
+def test_shards_spill_runs_to_the_shared_folder(spark, monkeypatch):
+    """Memtables of 20 digests and one shard: every run but the last is a file, and none is left behind."""
+    made = []
+    monkeypatch.setattr(dedup, "scratch_path", lambda spark, tag: made.append(scratch_path(spark, tag)) or made[-1])
+    rows = [(k, "same text" if k % 3 == 0 else f"text {k // 2}") for k in range(1500)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), memtable_rows=50, memtable=20).collect()}
+    want, _ = _expected_copies([(k + 1, t) for k, t in rows])
+    assert got == {w[0] - 1: (w[1] - 1, w[2]) for w in want}
+    fs, base = pafs.FileSystem.from_uri(made[0])
+    assert fs.get_file_info(base).type == pafs.FileType.Directory and not fs.get_file_info(pafs.FileSelector(base))
+
+
+def test_merge_index(tmp_path):
     rng = np.random.default_rng(4)
-    index, want = dedup.MergeIndex(memtable=16, fan_in=3), {}
+    index, want = dedup.MergeIndex(f"file://{tmp_path}", memtable=16, fan_in=3), {}
     for k, d in enumerate(rng.integers(0, 200, 2000).tolist()):
         key = dedup.sha256(bytes([d]))
         index.put(key, (2000 - k, k, 1, 1))
         old = want.get(key, (9999, 0, 0, 0))
         want[key] = (2000 - k, k, old[2] + 1, old[3] + 1)
     assert all(index.get(k) == v for k, v in want.items()) and index.get(b"x" * 32) is None
-    assert dict(index.items()) == want
+    assert dict(index.items()) == want and 1 <= len(list(tmp_path.iterdir())) < 3
+    index.close()
+    assert not list(tmp_path.iterdir())
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 99, k) for k in range(600)] + [(None, -1), (500, -2)], "key long, x long")
+    keyed = rows.where("key <> 500").groupBy("key").count().withColumn("y", -F.col("key"))
+    pairs = lambda how: sorted(tuple(r) for r in common.spread_join(rows, keyed, "key", "count", how=how).select("x", "key").collect())
+    known = sorted((r["x"], r["key"]) for r in rows.where("key <> 500").collect())
+    assert pairs("inner") == known and [p[0] for p in pairs("left_anti")] == [-2, -1]
+    assert len(pairs("left")) == 602
 
 
 def _fingerprint(text):
@@ -105,6 +131,18 @@ def test_simhash_operator(docs, no_docs, texts, spark, sf_dir):
     assert simhash.near_duplicates(no_docs).count() == 0
 
 
+def test_simhash_keys_are_divided(spark):
+    """A chain of fingerprints that one key files together, and others, in blocks of three."""
+    rng = np.random.default_rng(8)
+    base = int(rng.integers(0, 2**62))
+    fps = {base ^ (1 << a) ^ (1 << b) for a in range(8) for b in range(8)} | {int(x) for x in rng.integers(0, 2**62, 200)}
+    near = [(a, b) for a, b in itertools.combinations(sorted(fps), 2) if bin(a ^ b).count("1") <= 4]
+    want = {n: r for n, r in _groups(fps, near).items() if n != r}
+    for block in (3, 8192):
+        made = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), block=block)
+        assert {r["node"]: r["root"] for r in components.components(made).collect()} == want
+
+
 def test_simhash_of_long_texts_in_windows():
     text = " ".join(f"w{k % 977}x{k // 7}" for k in range(300_000))
     assert len(text) > 2 << 20 and simhash.fingerprint(text.encode()) == _fingerprint(text)
