@@ -12,6 +12,7 @@ likelier than not.
 Edge cases: null and empty texts have no features and the grade of the lowest
 threshold; repeated rows get the same grade; without toxic labels every severity
 is 0; a labels table with several rows for one doc_id counts as toxic if any is;
+where rows repeat a labelled doc_id, the model learns from the least of their texts;
 other columns are kept by filter_toxic and ignored by score_toxicity.
 """
 
@@ -27,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motrac.llm.common import chunk_codes, documents, held, text_blocks
+from motrac.llm.common import chunk_codes, documents, held, materialize, text_blocks
 
-#: Labelled texts of either kind that the model may be fitted on, and features kept.
-MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 4000, 8000, 3000
+#: Labelled texts of either kind that the model may be fitted on, features kept, and texts that a feature needs.
+MAX_TOXIC, MAX_CLEAN, MAX_FEATURES, LEAST = 4000, 8000, 3000, 2
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -121,7 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("y is not null and doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     first = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect() for y, n in ((1, max_toxic), (0, max_clean))]
     sample = spark.createDataFrame([(r["doc_id"], r["y"]) for rows in first for r in rows], "doc_id long, y int")
-    own = documents(docs).join(F.broadcast(sample), "doc_id").select("y", "text")
+    own = documents(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    own = materialize(own.select("y", "text"), "toxicity-sample")
 
     def count(batches):
         n: dict[int, list[int]] = {}
@@ -138,8 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         return ToxicityModel({}, np.zeros(0), np.zeros(0))
     a, b = F.col("n1") + 0.5, F.col("n0") + 0.5
     ratio = F.log(a / b) - float(np.log((total[1] + 1) / (total[0] + 1)))
-    least = 2 if total[1] < 100 else 4
-    counted = own.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= least)
+    counted = own.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n0") + F.col("n1") >= LEAST)
     best = counted.withColumn("gain", F.abs(ratio) * F.sqrt(F.col("n0") + F.col("n1"))).where(F.abs(ratio) > 1).orderBy(F.desc("gain"), "f").limit(max_features).collect()
     chosen = {r["f"]: i for i, r in enumerate(best)}
     marked = {i for i, r in enumerate(best) if r["n1"] > 20 * (r["n0"] + 0.1) * total[1] / max(1, total[0])}
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
                 hits = float(sum(k for f, k in c.items() if f in marked))
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([hits]), pa.array([list(c)], pa.list_(pa.int32())), pa.array([list(c.values())], pa.list_(pa.int32()))], names=["y", "hits", "f", "k"])
 
-    rows = own.mapInArrow(vectors, "y int, hits double, f array<int>, k array<int>").limit(2 * (max_toxic + max_clean)).collect()
+    rows = own.mapInArrow(vectors, "y int, hits double, f array<int>, k array<int>").collect()
     rows.sort(key=lambda r: (r["y"], r["hits"], sorted(zip(r["f"], r["k"]))))
     cuts = np.quantile([r["hits"] for r in rows if r["y"]] or [0.0], [k / GRADES for k in range(1, GRADES)])
     grade = np.array([1 + int(np.searchsorted(cuts, r["hits"], side="right")) if r["y"] else 0 for r in rows])
