@@ -1,4 +1,8 @@
+import functools
+import itertools
 import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -32,16 +36,39 @@ def test_quality_edges(spark, docs, no_docs, texts):
 
 
 def test_quality_votes_equal_brute_force(spark):
+    """Shares, latent vectors, cosines and votes of whole texts, each by plain loops."""
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
-    model = quality.fit(docs, labels, max_train=60)
-    assert len(model.labels) <= 60
-    rows = list(quality.text_terms(pa.array(["some plain text here.", "BUY!! NOW!! BUY!! NOW!!", "a a a a a", ""])))
-    got, z = model.score(rows), model.project(rows)
-    for s, v in zip(got, z):
-        cosine = [(float(v @ u), y) for u, y in zip(model.vectors, model.labels)]
-        near = sorted(cosine, key=lambda c: -c[0])[: model.neighbours]
-        w = [max(c, 0) ** 8 + 1e-9 for c, _ in near]
-        assert s == pytest.approx(sum(a * y for a, (_, y) in zip(w, near)) / sum(w), abs=0.05)
+    model = quality.fit(docs, labels, max_train=60, rank=5)
+    assert len(model.labels) <= 60 and any(t.startswith("w:") for t in model.vocabulary) and model.axes.shape[1] == 5
+    texts = ["some plain text here.", "BUY!! NOW!! BUY!! NOW!!", "a a a a a", "", *[r["text"] for r in docs.limit(300).collect()]]
+    got = np.concatenate([model.score(x) for x in quality.term_rows(pa.array(texts), quality.Terms(model.vocabulary))])
+    assert len(got) == len(texts)
+    for text, s in zip(texts, got):
+        chunks = [c for c in re.split(r"[ \t\n\x0b\x0c\r]+", text) if c]
+        share = dict.fromkeys(model.vocabulary, 0.0)
+        for c in chunks:
+            for t, v in quality.chunk_terms(c):
+                if t in share:
+                    share[t] += v / len(chunks)
+        pairs = list(zip(chunks, chunks[1:]))
+        numbers = (len(chunks), len(set(chunks)), sum(a == b for a, b in pairs), max(map(chunks.count, set(chunks)), default=0), len(set(pairs)))
+        for t, v in quality.repeat_terms(*numbers):
+            if t in share:
+                share[t] += v
+        z = np.array([sum(math.sqrt(share[t]) * model.idf[i] * model.axes[i, k] for t, i in model.vocabulary.items()) for k in range(5)])
+        cosine = sorted(((float(z @ u) / (np.linalg.norm(z) or 1), y) for u, y in zip(model.vectors, model.labels)), key=lambda c: -c[0])
+        w = [max(c, 0) ** 8 + 1e-9 for c, _ in cosine[: model.neighbours]]
+        # Equal cosines at the last place may go to either label.
+        edge = cosine[min(model.neighbours, len(cosine)) - 1][0]
+        tied = sum(abs(c - edge) < 1e-9 for c, _ in cosine)
+        assert s == pytest.approx(sum(a * y for a, (_, y) in zip(w, cosine)) / sum(w), abs=1e-6) or tied > 1
+
+
+def test_quality_of_repeated_labelled_ids_does_not_depend_on_order(spark):
+    rows = [(1, "good text here. It is fine."), (1, "### $$$ ###"), (2, "$$$ ### $$$"), (3, "another good text. It is fine too."), (4, "### ### &&&")]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = [sorted(tuple(r) for r in quality.score_quality(spark.createDataFrame(own, "doc_id long, text string"), labels).collect()) for own in (rows, rows[::-1])]
+    assert [r[:2] + r[3:] for r in got[0]] == [r[:2] + r[3:] for r in got[1]] and [r[2] for r in got[0]] == pytest.approx([r[2] for r in got[1]])
 
 
 def test_quality_reads_long_chunks_to_their_end():
@@ -61,6 +88,34 @@ def test_toxicity_accuracy(spark):
     assert len(bad) > 5 and np.mean([r["toxic"] for r in bad]) >= 0.7 and np.mean([r["toxic"] for r in clean]) <= 0.03
 
 
+def test_toxicity_scores_equal_brute_force(spark, texts):
+    """Grades from a text's words counted by hand and the model's weights and thresholds."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.fit(docs, labels, max_toxic=30, max_clean=60)
+    every = [t or "" for _, t in texts] + [r["text"] for r in docs.limit(100).collect()]
+    severity, chance = model.severity(pa.array(every))
+    assert (np.diff(model.theta) > 0).all() and chance.max() > 0.5 > chance.min()
+    for text, s, c in zip(every, severity, chance):
+        counts = {}
+        for chunk in re.split(r"[ \t\n\x0b\x0c\r]+", text):
+            for w in re.findall(r"[^\W\d_]+", chunk.lower()):
+                for f in [w, *("^" + w[:n] for n in (3, 4, 5, 6) if len(w) > n)]:
+                    key = zlib.crc32(f.encode())
+                    counts[key] = counts.get(key, 0) + 1
+        z = sum(model.weights[model.chosen[f]] * math.log1p(k) for f, k in counts.items() if f in model.chosen)
+        above = [1 / (1 + math.exp(t - z)) for t in model.theta]
+        assert s == pytest.approx(sum(above), abs=1e-9) and c == pytest.approx(above[0], abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [98, 99, 100, 101])
+def test_toxicity_has_one_rule_at_every_size(spark, n):
+    """A word of two toxic texts is a feature whether a hundred texts are toxic or fewer."""
+    rows = [(k, f"common words here and w{'abcdefghij'[k % 10]}ord" + (" zzqx" if k < 2 else "") + (" vile" if k < n else "")) for k in range(2 * n)]
+    labels = spark.createDataFrame([(k, 1, int(k < n)) for k in range(2 * n)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert {zlib.crc32(b"zzqx"), zlib.crc32(b"vile")} <= model.chosen.keys()
+
+
 def test_toxicity_edges(spark, docs, no_docs, texts):
     labels = table(spark, SF, "labels")
     assert toxicity.score_toxicity(docs, labels).count() == len(texts)
@@ -94,17 +149,48 @@ def _rule(url):
     return host, path, *best
 
 
+def _url_scorer(places):
+    """The method by plain loops: unigram weights of all runs, the cheapest division by search, the seeds' log odds."""
+    counts = {k: [w for n in re.split(r"[|\n]\s*", urls.SEEDS[k]) for w in n.split()] for k in urls.SEEDS}
+    words = set(counts["block"]) | set(counts["allow"])
+    weight = {w: 20.0 * (counts["block"].count(w) + counts["allow"].count(w)) for w in words}
+    runs = {(h, r) for h, p in places for r in re.findall("[a-z]+", f"{h} {p}".lower())}
+
+    def joined(w):
+        return any(w == s or w.startswith(s) and joined(w[len(s) :]) for s in words)
+
+    for r in {r for _, r in runs}:
+        if r in words or not joined(r):
+            weight[r] = weight.get(r, 0) + math.log1p(sum(x == r for _, x in runs)) / len(r)
+    total = sum(weight.values())
+
+    @functools.cache
+    def best(run):
+        return min(((-math.log(weight[run[i:]] / total) if run[i:] in weight else math.log(total) + 1 + 2.5 * (len(run) - i)) + best(run[:i])[0], i) for i in range(len(run))) if run else (0.0, 0)
+
+    def score(host, path):
+        out = -1.0
+        for r in re.findall("[a-z]+", f"{host} {path}".lower()):
+            while r:
+                w, r = r[best(r)[1] :], r[: best(r)[1]]
+                if w in words:
+                    out += math.log((counts["block"].count(w) + 1) / (len(counts["block"]) + len(words)) / ((counts["allow"].count(w) + 1) / (len(counts["allow"]) + len(words))))
+        return out
+
+    return score
+
+
 def test_url_filter(spark, sf_dir):
     extra = [(-1, None), (-2, ""), (-3, "nothing here"), (-4, "http://"), (-5, "HTTP://Www.Example.COM/en/x?y#z"), (-6, "x://ÄB.com?q/en/"), (-7, "a://b://example.com/en/"), (-8, "http://example.com/en/1"), (-9, "http://xexample.com/en/1"), (-10, "http://net/fr/#"), (-11, "ftp://cheap-pills.org/"), (-12, "http://com"), (-13, "http://com/"), (-13, "http://com/"), (None, "http://a.net/es/q")]
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     every = pages.unionByName(spark.createDataFrame(extra, "page_id long, url string")).withColumn("host", F.lit(1)).withColumn("score", F.lit("x"))
     rows = every.collect()
     got = urls.judge(every).collect()
-    model = urls.fit(spark.createDataFrame([_rule(r["url"])[:2] for r in rows], "host string, path string"))
+    score = _url_scorer([_rule(r["url"])[:2] for r in rows])
     want = []
     for r in rows:
         host, path, rule, verdict = _rule(r["url"])
-        want.append((r["page_id"] or 0, host, path, rule or "", verdict or ("block" if model.score(host, path) > 0 else "allow")))
+        want.append((r["page_id"] or 0, host, path, rule or "", verdict or ("block" if score(host, path) > 0 else "allow")))
     assert sorted((r["page_id"] or 0, r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in got) == sorted(want)
     assert urls.judge(every.limit(0)).count() == 0
     assert next(r["verdict"] for r in got if r["page_id"] == -11) == "block"
@@ -117,18 +203,38 @@ def test_url_verdict_does_not_depend_on_how_often_a_host_is_met(spark):
         assert {r["host"]: r["verdict"] for r in got if "site" not in r["host"]} == {"cheappills.info": "block", "freebets.info": "block"}
 
 
-def test_segmentation_is_the_likeliest():
-    model = urls.fit()
-    assert model.segment("cheappills") == ["cheap", "pills"] and model.segment("citynews") == ["city", "news"]
+def test_long_and_rare_words_are_known(spark):
+    """A word of any length that stands alone is known; so is one of many thousand others met once."""
+    long = "".join("abcdefghij"[k * k % 10] for k in range(90))
+    words = [(i, f"http://{long if not i else ''}{''.join('qjxzvkwyup'[int(c)] for c in str(i))}.info/{long}") for i in range(3000)]
+    got = {r["run"]: r["words"] for r in _divided(spark, words, [long, "winqqqjq", "cheappills", long + "cheap"])}
+    assert got[long] == [long] and got["cheappills"] == ["cheap", "pills"] and got["winqqqjq"] != ["winqqqjq"] and got[long + "cheap"][-1] == "cheap"
+
+
+def _divided(spark, rows, names):
+    hosts = spark.createDataFrame(rows, "page_id long, url string").select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    return urls.divided(spark.createDataFrame([(n,) for n in names], "run string"), urls.unigrams(hosts)).collect()
+
+
+def test_division_is_the_likeliest():
+    rng = random.Random(1)
+    for _ in range(300):
+        run = "".join(rng.choice("ab") for _ in range(rng.randint(1, 9)))
+        parts = [(i, j, rng.random() * 9) for i in range(len(run)) for j in range(i + 1, len(run) + 1) if rng.random() < 0.3]
+        cost = {}
+        for i, j, c in parts:
+            cost[i, j] = min(c, cost.get((i, j), math.inf))
 
-    def best(name):
-        if not name:
-            return 0.0
-        return min(model.cost.get(name[:i], model.unknown + 2.5 * i) + best(name[i:]) for i in range(1, len(name) + 1))
+        def of(words):
+            at, out = 0, 0.0
+            for w in words:
+                out += min(cost.get((at, at + len(w)), math.inf), 4.0 + urls.LETTER * len(w))
+                at += len(w)
+            return out
 
-    for name in ("freebets", "xqz", "artcode", "newsnewsx"):
-        own = sum(model.cost.get(w, model.unknown + 2.5 * len(w)) for w in model.segment(name))
-        assert own == pytest.approx(best(name))
+        ways = [[run[a:b] for a, b in zip((0, *cuts), (*cuts, len(run)))] for n in range(len(run)) for cuts in itertools.combinations(range(1, len(run)), n)]
+        words = urls.divide(run, parts, 4.0)
+        assert "".join(words) == run and of(words) == pytest.approx(min(map(of, ways)))
 
 
 def _scan(text, model):
