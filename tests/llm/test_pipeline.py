@@ -7,7 +7,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from motrac.llm import quality, toxicity
-from motrac.llm.common import table
+from motrac.llm.common import scratch_path, table
 from tests.llm.test_copies import _fingerprint, _groups
 from tests.llm.test_tokens import _check_packing
 
@@ -25,7 +25,9 @@ def test_pipeline_equals_stages_by_hand(spark, sf_dir):
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
     of = lambda ids: docs.where(docs["doc_id"].isin(sorted(ids)))
 
-    score = dict(zip(rows, quality.fit(docs, labels).score(list(quality.text_terms(pa.array([t or "" for t in rows.values()], pa.string()))))))
+    model = quality.fit(docs, labels)
+    shares = quality.term_rows(pa.array([t or "" for t in rows.values()], pa.string()), quality.Terms(model.vocabulary))
+    score = dict(zip(rows, (s for x in shares for s in model.score(x))))
     kept = {i for i in rows if score[i] >= 0.3}
     assert 0 < len(kept) < len(rows)
 
@@ -47,6 +49,19 @@ def test_pipeline_equals_stages_by_hand(spark, sf_dir):
     assert _check_packing(got, 4096) == -(-sum(r["length"] for r in got) // 4096)
 
 
+def test_classifier_stages_with_repeats_nulls_and_clashing_columns(spark, sf_dir, docs, no_docs):
+    """Rows that stay are those the operators keep, each as often as it was there and with all its columns."""
+    table(spark, sf_dir, "labels").write.mode("overwrite").parquet(path := scratch_path(spark, "labels") + "/labels.parquet")
+    labels, folder = table(spark, sf_dir, "labels"), path.rsplit("/", 1)[0]
+    for stage, scored in ((corpus_pipeline.keep_quality, quality.score_quality(docs, labels).where("predicted = 1")), (corpus_pipeline.drop_toxic, toxicity.score_toxicity(docs, labels).where("toxic = 0"))):
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns
+        rows = [tuple(r) for r in got.collect()]
+        assert 0 < len(rows) and set(rows) <= {tuple(r) for r in docs.collect()} and len(set(rows)) == len(rows)
+        assert sorted(r[0] or 0 for r in rows) == sorted(r["doc_id"] or 0 for r in scored.collect())
+        assert stage(spark, no_docs, folder).count() == 0
+
+
 def test_copies_stage_with_repeats_nulls_and_clashing_columns(spark, docs, no_docs, texts):
     got = corpus_pipeline.drop_copies(spark, docs, "")
     assert got.columns == docs.columns
