@@ -51,7 +51,10 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, count: str, total:
     if total is None:
         total = keyed.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
     hot = max(16, total // 256)
-    often, others = F.broadcast(keyed.where(F.col(count) > hot)), keyed.where(F.col(count) <= hot)
+    often = keyed.where(F.col(count) > hot)
+    if not often.head(1):
+        return rows.join(keyed.select(key) if how == "left_anti" else keyed, key, how)
+    often, others = F.broadcast(often), keyed.where(F.col(count) <= hot)
     rest = rows.join(often.select(key), key, "left_anti")
     if how == "left_anti":
         return rest.join(others.select(key), key, "left_anti")
@@ -78,7 +81,7 @@ def windows(data: bytes, width: int = 1 << 20):
         yield data[start:] if start else data
 
 
-def text_blocks(texts, limit: int = 4 << 20):
+def text_blocks(texts, limit: int = 2 << 20):
     """Row ranges of an Arrow string array of about limit bytes each, one row at least."""
     import numpy as np
     import pyarrow as pa

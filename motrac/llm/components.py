@@ -92,10 +92,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
         large = spread_join(both.where("v > u"), least, "u", "n", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, low, "u", "n", 2 * mark[0]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # A node has at most one row here for each smallest node that its links know, so none is hot.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
     else:
         raise RuntimeError("components did not settle")

@@ -49,7 +49,7 @@ class ChunkEncoder:
     reached the memory is emptied and fills again, which changes no result.
     """
 
-    def __init__(self, path: str, max_entries: int = 400_000):
+    def __init__(self, path: str, max_entries: int = 250_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -139,7 +139,7 @@ class ChunkEncoder:
         return [int(i) for _, _, ids, _ in self.encode_array(pa.array([text], pa.string())) for i in ids]
 
 
-def encoder(path: str, max_entries: int = 400_000) -> ChunkEncoder:
+def encoder(path: str, max_entries: int = 250_000) -> ChunkEncoder:
     """The Python worker's encoder, kept from task to task."""
     return held(("encoder", path, max_entries), lambda: ChunkEncoder(path, max_entries))
 
