@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,12 +29,12 @@ def morse_force(r: Column, eps: float, R: float = 1.0, L: float = 4.0, textbook:
     return eps * (F.exp(-2 * (r - R) / L) - F.exp((-1 if textbook else 1) * (r - R) / L))
 
 
-def flux_ligdist(v: Column, cmean: float = 1.0, csigma: float = 0.5, center: bool = True) -> tuple[Column, Column]:
-    """Mean and width of a flux in proportion to a ligand density, the mean centred over all rows if asked."""
-    mean = cmean * v
+def flux_ligdist(df: DataFrame, v: Column, cmean: float = 1.0, csigma: float = 0.5, center: bool = True) -> DataFrame:
+    """Adds mean and sigma of a flux in proportion to a ligand density, the mean centred over all rows if asked."""
+    out = df.withColumn("mean", cmean * v).withColumn("sigma", F.abs(csigma * F.abs(v)))
     if center:
-        mean = mean - F.avg(cmean * v).over(Window.partitionBy())
-    return mean, F.abs(csigma * F.abs(v))
+        out = out.crossJoin(F.broadcast(df.agg(F.avg(cmean * v).alias("_middle")))).withColumn("mean", F.col("mean") - F.col("_middle")).drop("_middle")
+    return out
 
 
 def ternary_coords(a: Column, b: Column, c: Column) -> tuple[Column, Column]:

@@ -40,8 +40,9 @@ def adhesive_displacement(near: DataFrame, force: Column, alpha: float = 1.0, ma
     """Displacement along the way to the neighbour by a force of d, scaled so that none exceeds maxd."""
     out = near.withColumn("dx", F.transform(F.zip_with("nn_pt", "pt", lambda a, b: a - b), lambda v: alpha * force * v / F.col("d")))
     if maxd is not None:
-        top = F.max(F.sqrt(dot(F.col("dx"), F.col("dx")))).over(Window.partitionBy())
-        out = out.withColumn("_s", F.when(top > maxd, maxd / top).otherwise(1.0)).withColumn("dx", F.transform("dx", lambda v: v * F.col("_s"))).drop("_s")
+        top = out.agg(F.max(F.sqrt(dot(F.col("dx"), F.col("dx")))).alias("_top"))
+        scale = F.when(F.col("_top") > maxd, maxd / F.col("_top")).otherwise(1.0)
+        out = out.crossJoin(F.broadcast(top)).withColumn("dx", F.transform("dx", lambda v: v * scale)).drop("_top")
     return out
 
 
@@ -108,26 +109,67 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def transport(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
-    """Uniform transport with squared distances: each p's displacement to the q it sends most to, and the cost.
+def transport_plan(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cheapest way to send equal masses of the rows to equal masses of the columns: (shares, row prices, column prices).
 
-    Clouds of unequal size are both repeated to a common multiple, where uniform transport is an assignment.
+    Masses are whole numbers that add up alike on both sides. Each row sends along
+    the shortest ways that are left, which may take back what others sent; prices
+    never exceed costs, and are costs where mass flows, which proves the plan best.
     """
-    n = np.lcm(len(p), len(q)) if np.lcm(len(p), len(q)) <= 512 else max(len(p), len(q))
-    a, b = np.arange(n) * len(p) // n, np.arange(n) * len(q) // n
-    cost = ((p[a][:, None] - q[b][None]) ** 2).sum(2)
-    to = assignment(cost)
-    mass = np.zeros((len(p), len(q)))
-    np.add.at(mass, (a, b[to]), 1 / n)
-    return q[mass.argmax(1)] - p, float(cost[np.arange(n), to].mean())
+    n, m = cost.shape
+    g = int(np.gcd(n, m))
+    supply, demand = np.full(n, m // g), np.full(m, n // g)
+    flow, u, v = np.zeros((n, m), np.int64), np.zeros(n), cost.min(0)
+    for start in range(n):
+        while supply[start]:
+            far, way = np.full(m, np.inf), np.zeros(m, int)
+            row_far, back = np.full(n, np.inf), np.full(n, -1)
+            done, front = np.zeros(m, bool), [start]
+            row_far[start] = 0.0
+            while True:
+                for i in front:
+                    new = row_far[i] + np.maximum(cost[i] - u[i] - v, 0)
+                    better = ~done & (new < far)
+                    far[better], way[better] = new[better], i
+                j = int(np.where(done, np.inf, far).argmin())
+                done[j] = True
+                if demand[j]:
+                    break
+                front = np.flatnonzero((flow[:, j] > 0) & np.isinf(row_far)).tolist()
+                row_far[front], back[front] = far[j], j
+            reached = np.isfinite(row_far)
+            u[reached] += far[j] - row_far[reached]
+            v[done] -= far[j] - far[done]
+            path, at = [], j
+            while True:
+                path.append((way[at], at))
+                if way[at] == start:
+                    break
+                at = back[way[at]]
+            taken = [flow[i, back[i]] for i, _ in path[:-1]]
+            amount = min(supply[start], demand[j], *taken)
+            for i, to in path:
+                flow[i, to] += amount
+            for i, _ in path[:-1]:
+                flow[i, back[i]] -= amount
+            supply[start] -= amount
+            demand[j] -= amount
+    return flow / flow.sum(), u, v
+
+
+def transport(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, float]:
+    """Uniform transport with squared distances: each p's displacement to the q it sends most to (the first of equal ones), and the cost."""
+    cost = ((p[:, None] - q[None]) ** 2).sum(2)
+    share = transport_plan(cost)[0]
+    return q[share.argmax(1)] - p, float((share * cost).sum())
 
 
 def transport_displacement(points: DataFrame, before: DataFrame) -> DataFrame:
-    """(index, pt, dx, cost): each cell's points against the parent cloud with the same index, joined cell by cell."""
+    """(index, pt, dx, cost): each cell's points against the parent cloud with the same index, joined cell by cell; dx is null without one."""
 
     def one(key, now: pd.DataFrame, prev: pd.DataFrame) -> pd.DataFrame:
         if now.empty or prev.empty:
-            return pd.DataFrame({"index": now["index"], "pt": now["pt"], "dx": [None] * len(now), "cost": [None] * len(now)})
+            return pd.DataFrame({"index": now["index"], "pt": now["pt"].astype(object), "dx": pd.Series([None] * len(now), now.index, object), "cost": float("nan")})
         dx, cost = transport(np.stack(now["pt"].to_numpy()), np.stack(prev["pt"].to_numpy()))
         return pd.DataFrame({"index": now["index"], "pt": now["pt"], "dx": list(dx), "cost": cost})
 

@@ -27,7 +27,7 @@ def cell_index(px: DataFrame) -> DataFrame:
     # Numbers run on over frames: a frame's first is the number of cells before it, one row a frame.
     sizes = own.groupBy("frame").agg(F.count("*").alias("n"))
     first = sizes.select("frame", F.coalesce(F.sum("n").over(Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return own.join(F.broadcast(first), "frame").select((F.col("first") + F.col("ind")).alias("cell_id"), "frame", "ind", "label", "x0", "x1", "y0", "y1", "n_pixels")
+    return own.join(first, "frame").select((F.col("first") + F.col("ind")).alias("cell_id"), "frame", "ind", "label", "x0", "x1", "y0", "y1", "n_pixels")
 
 
 def cell_centers(px: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def cell_centers(px: DataFrame) -> DataFrame:
 
 def positions(px: DataFrame, shifts: DataFrame) -> DataFrame:
     """Centres less their frame's registration shift."""
-    s = F.broadcast(shifts.select("frame", "tx", "ty"))
+    s = shifts.select("frame", "tx", "ty")
     return cell_centers(px).join(s, "frame", "left").select("frame", "label", (F.col("x") - F.coalesce("tx", F.lit(0.0))).alias("x"), (F.col("y") - F.coalesce("ty", F.lit(0.0))).alias("y"))
 
 
@@ -54,7 +54,7 @@ def compartment_ratio(px: DataFrame, channel: str, inner: Column, use_sum: bool
     v = F.col(channel)
     if background is not None:
         b = px.where("label = 0").groupBy("frame").agg(F.expr(f"percentile({channel}, {background / 100})").alias("_b"))
-        px, v = px.join(F.broadcast(b), "frame", "left"), F.col(channel) - F.coalesce("_b", F.lit(0.0))
+        px, v = px.join(b, "frame", "left"), F.col(channel) - F.coalesce("_b", F.lit(0.0))
     f = F.sum if use_sum else F.avg
     r = px.where("label > 0").groupBy("frame", "label").agg(f(F.when(inner, v)).alias("inside"), f(F.when(~inner, v)).alias("outside"))
     ratio = F.col("outside") / F.when(F.col("inside") != 0, F.col("inside")) if inverse else F.col("inside") / F.when(F.col("outside") != 0, F.col("outside"))
@@ -68,7 +68,7 @@ def channel_crosscorr(px: DataFrame, a: str, b: str) -> DataFrame:
 def histogram_stretch(px: DataFrame, channel: str, lp: float = 1, hp: float = 99) -> DataFrame:
     """(v - low) / (high - low) by each frame's percentiles, without clipping."""
     q = px.groupBy("frame").agg(F.expr(f"percentile({channel}, array({lp / 100}, {hp / 100}))").alias("q"))
-    return px.join(F.broadcast(q), "frame").withColumn("stretched", (F.col(channel) - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0])).drop("q")
+    return px.join(q, "frame").withColumn("stretched", (F.col(channel) - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0])).drop("q")
 
 
 def feature_map(px: DataFrame, features: DataFrame, name: str) -> DataFrame:
@@ -80,7 +80,7 @@ def voronoi(px: DataFrame, centers: DataFrame) -> DataFrame:
     """Each pixel's nearest centre of its frame; ties to the smaller label. A frame's centres are few and gathered in a row."""
     c = centers.groupBy("frame").agg(F.collect_list(F.struct("label", "x", "y")).alias("cs"))
     d = F.transform("cs", lambda c: F.struct(((F.col("x") - c["x"]) * (F.col("x") - c["x"]) + (F.col("y") - c["y"]) * (F.col("y") - c["y"])).alias("d"), c["label"].alias("label")))
-    return px.drop("label").join(F.broadcast(c), "frame").select("frame", "x", "y", F.array_min(d)["label"].alias("label"))
+    return px.drop("label").join(c, "frame").select("frame", "x", "y", F.array_min(d)["label"].alias("label"))
 
 
 def clean_labels(px: DataFrame, minsize: int | None = None, maxsize: int | None = None, border: tuple[int, int, int, int] | None = None) -> DataFrame:
@@ -194,7 +194,7 @@ def pad(px: DataFrame, width: int, height: int, nx: int, ny: int) -> DataFrame:
 
 def shift(px: DataFrame, shifts: DataFrame) -> DataFrame:
     """Pixels moved by their frame's registration, to the nearest whole pixel."""
-    s = F.broadcast(shifts.select("frame", "tx", "ty"))
+    s = shifts.select("frame", "tx", "ty")
     return px.join(s, "frame", "left").withColumn("x", (F.col("x") - F.round(F.coalesce("tx", F.lit(0.0)))).cast("int")).withColumn("y", (F.col("y") - F.round(F.coalesce("ty", F.lit(0.0)))).cast("int")).drop("tx", "ty")
 
 

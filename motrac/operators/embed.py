@@ -10,17 +10,72 @@ from pyspark.sql import functions as F
 from motrac.functions.scalar import distance
 
 
-def distance_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(i, j, d) of every row of a stated query set with every row of b; a is a small set that is asked for."""
-    left = a.select(F.col("cell_id").alias("i"), F.col("xf").alias("_a"))
-    right = b.select(F.col("cell_id").alias("j"), F.col("xf").alias("_b"))
-    return right.crossJoin(F.broadcast(left)).select("i", "j", distance(F.col("_a"), F.col("_b")).alias("d"))
+#: Rows of either side that a task compares at once.
+BLOCK = 512
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """The k nearest points of each query, itself left out; ties to the smaller number."""
+def _blocks(points: DataFrame, name: str, block: int) -> DataFrame:
+    """Points in blocks of about block rows, a row each, as lists of numbers and vectors; rows without a vector are left out."""
+    rows = points.where("xf is not null").select("cell_id", "xf")
+    n = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("_n", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
+    return placed.groupBy("_n").agg(F.collect_list(F.struct("cell_id", "xf")).alias(name)).select(name)
+
+
+def by_blocks(a: DataFrame, b: DataFrame, function, schema: str, block: int = BLOCK) -> DataFrame:
+    """What function makes of each block of a with each block of b, given numbers of a, of b, and their distances.
+
+    Every row of a is compared with every row of b, as distances are asked for;
+    what moves are blocks, and what comes out is up to function.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for left, right in zip(pdf["a"], pdf["b"]):
+                i, j = (np.array([r["cell_id"] for r in side]) for side in (left, right))
+                x, y = (np.stack([np.asarray(r["xf"], float) for r in side]) for side in (left, right))
+                d = np.empty((len(x), len(y)))
+                for k in range(0, len(x), 32):
+                    d[k : k + 32] = np.sqrt(((x[k : k + 32, None] - y[None]) ** 2).sum(2))
+                yield function(i, j, d)
+
+    pairs = _blocks(a, "a", block).crossJoin(_blocks(b, "b", block))
+    spread = pairs.repartition(max(1, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return spread.mapInPandas(run, schema)
+
+
+def distance_rows(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, j, d) of every row of a with every row of b; an empty side gives an empty result."""
+    return by_blocks(a, b, lambda i, j, d: pd.DataFrame({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "d": d.ravel()}), "i long, j long, d double", block)
+
+
+def knn(queries: DataFrame, points: DataFrame, k: int, itself: bool = False, block: int = BLOCK) -> DataFrame:
+    """The k nearest points of each query, itself left out unless asked for; ties to the smaller number. A block gives its k nearest only."""
+
+    def nearest(i, j, d):
+        at = np.argsort(j, kind="stable")
+        j, d = j[at], d[:, at]
+        if not itself:
+            d = np.where(i[:, None] == j[None, :], np.inf, d)
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"i": np.repeat(i, best.shape[1]), "j": j[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
+        return out[np.isfinite(out["d"])]
+
+    near = by_blocks(queries, points, nearest, "i long, j long, d double", block)
     w = Window.partitionBy("i").orderBy("d", "j")
-    return distance_rows(queries, points).where("i <> j").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def distance_variance(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(i, var): the population variance of each row's distances to all rows of b, from sums by block."""
+
+    def sums(i, j, d):
+        m = d.mean(1)
+        return pd.DataFrame({"i": i, "n": len(j), "m": m, "s": ((d - m[:, None]) ** 2).sum(1)})
+
+    part = by_blocks(a, b, sums, "i long, n long, m double, s double", block)
+    total = part.groupBy("i").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum("s").alias("s"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("q"))
+    return total.select("i", ((F.col("s") + F.col("q") - F.col("t") * F.col("t") / F.col("n")) / F.col("n")).alias("var"))
 
 
 def assign(points: DataFrame, centers: DataFrame) -> DataFrame:
@@ -49,9 +104,15 @@ def kmeans(points: DataFrame, k: int, seed: int = 0):
 def pca(points: DataFrame, var_cutoff: float = 0.95, dim: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(scores, axes, shares): the fewest principal components that explain var_cutoff of the variance, or dim of them.
 
-    The covariance of d columns is summed by partitions; d squared numbers reach the driver.
+    The covariance of d columns is summed by partitions; d squared numbers reach
+    the driver. Rows without a vector get no score; without any vector, or where
+    all are equal, there are no axes and each score is empty.
     """
-    d = len(points.select("xf").first()[0])
+    first = points.where("xf is not null").select("xf").first()
+    d = len(first[0]) if first else 0
+    none = points.select("cell_id", F.array().cast("array<double>").alias("x")), np.zeros((d, 0)), np.zeros(0)
+    if not first:
+        return none
 
     def sums(batches):
         n, s, g = 0, np.zeros(d), np.zeros((d, d))
@@ -61,12 +122,14 @@ def pca(points: DataFrame, var_cutoff: float = 0.95, dim: int | None = None) ->
         yield pd.DataFrame({"v": [np.concatenate([[n], s, g.ravel()])]})
 
     total = np.zeros(1 + d + d * d)
-    for r in points.select("xf").mapInPandas(sums, "v array<double>").toLocalIterator():
+    for r in points.where("xf is not null").select("xf").mapInPandas(sums, "v array<double>").toLocalIterator():
         total += np.array(r["v"])
     n, mean, g = total[0], total[1 : 1 + d] / total[0], total[1 + d :].reshape(d, d)
     cov = g / n - np.outer(mean, mean)
     w, v = np.linalg.eigh(cov)
-    w, v = w[::-1], v[:, ::-1]
+    w, v = np.maximum(w[::-1], 0), v[:, ::-1]
+    if w.sum() <= 0:
+        return none
     share = w / w.sum()
     k = dim or int(np.searchsorted(np.cumsum(share), var_cutoff) + 1)
     axes = v[:, :k] * np.sign(v[np.abs(v[:, :k]).argmax(0), np.arange(k)])
@@ -75,7 +138,7 @@ def pca(points: DataFrame, var_cutoff: float = 0.95, dim: int | None = None) ->
     def score(xf: pd.Series) -> pd.Series:
         return pd.Series(list((np.stack(xf.to_numpy()) - mean) @ axes))
 
-    return points.select("cell_id", score("xf").alias("x")), axes, share[:k]
+    return points.where("xf is not null").select("cell_id", score("xf").alias("x")), axes, share[:k]
 
 
 def segment_features(segs: DataFrame, points: DataFrame, key: str = "traj_id") -> DataFrame:
@@ -84,10 +147,9 @@ def segment_features(segs: DataFrame, points: DataFrame, key: str = "traj_id") -
     return e.groupBy(key, "pos").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "xf"))), lambda s: s["xf"])).alias("xf"), F.count("*").alias("n"))
 
 
-def diffusion_kernel(dist: DataFrame, sigma: float, nn: int) -> DataFrame:
+def diffusion_kernel(points: DataFrame, sigma: float, nn: int) -> DataFrame:
     """(i, j, p): Gaussian weights of each row's nn nearest (itself among them), rows scaled to one."""
-    w = Window.partitionBy("i").orderBy("d", "j")
-    a = dist.withColumn("k", F.row_number().over(w)).where(F.col("k") <= nn).withColumn("a", F.exp(-F.col("d") * F.col("d") / (2 * sigma)))
+    a = knn(points, points, nn, itself=True).withColumn("a", F.exp(-F.col("d") * F.col("d") / (2 * sigma)))
     return a.select("i", "j", (F.col("a") / F.sum("a").over(Window.partitionBy("i"))).alias("p"))
 
 
@@ -110,7 +172,15 @@ def prune(x: np.ndarray, rcut: float = 5.0) -> np.ndarray:
         keep = new
 
 
-def sigma_curve(dist: DataFrame, eps: list[float]) -> DataFrame:
-    """ln of the summed kernel for each bandwidth; its steepest slope gives the dimension."""
-    e = dist.select("d", F.explode(F.array(*map(F.lit, eps))).alias("eps"))
-    return e.groupBy("eps").agg(F.log(F.sum(F.exp(-F.col("d") * F.col("d") / (2 * F.col("eps"))))).alias("log_sum"))
+def sigma_curve(points: DataFrame, eps: list[float], block: int = BLOCK) -> DataFrame:
+    """ln of the kernel summed over all pairs of rows for each bandwidth, from sums by block."""
+    part = by_blocks(points, points, lambda i, j, d: pd.DataFrame({"eps": eps, "s": [float(np.exp(-d * d / (2 * e)).sum()) for e in eps]}), "eps double, s double", block)
+    return part.groupBy("eps").agg(F.log(F.sum("s")).alias("log_sum"))
+
+
+def scaled_sigma(curve: list[tuple[float, float]]) -> tuple[float, float]:
+    """(bandwidth, dimension) from (eps, log_sum): where ln of the sum rises steepest against ln eps, and twice that slope."""
+    e, s = np.log([c[0] for c in sorted(curve)]), np.array([c[1] for c in sorted(curve)])
+    slope = np.gradient(s, e)
+    k = int(slope.argmax())
+    return float(np.exp(e[k])), float(2 * slope[k])

@@ -34,11 +34,15 @@ def _znorm(v: np.ndarray) -> np.ndarray:
     return (v - np.nanmean(v)) / s if s > 0 else np.zeros_like(v)
 
 
+def _boxed(mask, intensity) -> np.ndarray:
+    """The cell's box, zero outside the cell, standardised as a whole."""
+    return _znorm(np.where(mask, np.nan_to_num(intensity), 0.0))
+
+
 def zernike(mask, intensity, degree: int = 12) -> np.ndarray:
-    """Magnitudes of the Zernike moments up to a degree of the standardised intensity, about its centre of mass."""
-    img = np.zeros(mask.shape)
-    img[mask] = np.abs(_znorm(np.nan_to_num(intensity[mask])))
-    radius, total = max(1.0, sum(mask.shape) / 4), img.sum()
+    """Magnitudes of the Zernike moments up to a degree of the standardised box's absolute values, about their centre of mass."""
+    img = np.abs(_boxed(mask, intensity))
+    radius, total = max(1, int(np.mean(mask.shape) / 2)), img.sum()
     yy, xx = np.mgrid[: mask.shape[0], : mask.shape[1]]
     if total <= 0:
         return np.zeros(sum(n // 2 + 1 for n in range(degree + 1)))
@@ -55,22 +59,22 @@ def zernike(mask, intensity, degree: int = 12) -> np.ndarray:
 
 
 def haralick(mask, intensity, levels: int = 21, span: float = 10.0) -> np.ndarray:
-    """13 statistics of grey-level co-occurrence, the mean over four directions; the inverse difference moment is per level."""
-    v = np.full(mask.shape, -1)
-    z = np.clip(_znorm(np.nan_to_num(intensity[mask])), -span, span)
-    v[mask] = np.rint((z + span) / (2 * span) * (levels - 1)).astype(int)
-    rows = []
+    """13 statistics of grey-level co-occurrence in the standardised box, the mean over four directions; the sum average is per level.
+
+    A level is the number of the edges, evenly from -span to span with one below all, at or under the value.
+    """
+    v = 1 + np.searchsorted(np.linspace(-span, span, levels), _boxed(mask, intensity), side="right")
+    depth, rows = int(v.max()) + 1, []
     for a, b in ((0, 1), (1, 1), (1, 0), (1, -1)):
         h, w = v.shape
         p, q = v[: h - a, max(0, -b) : w - max(0, b)], v[a:, max(0, b) : w - max(0, -b)]
-        ok = (p >= 0) & (q >= 0)
-        g = np.zeros((levels, levels))
-        np.add.at(g, (p[ok], q[ok]), 1)
+        g = np.zeros((depth, depth))
+        np.add.at(g, (p, q), 1)
         g += g.T
         if g.sum():
             rows.append(_glcm(g / g.sum()))
     out = np.mean(rows, axis=0) if rows else np.full(13, np.nan)
-    out[4] /= levels
+    out[5] /= levels
     return out
 
 

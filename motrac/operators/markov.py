@@ -26,7 +26,7 @@ def transition_counts(steps: DataFrame) -> DataFrame:
 def transition_matrix(steps: DataFrame, n_states: int) -> DataFrame:
     """Dense (i, j, p): rows add to one, a state without departures stays."""
     grid = steps.sparkSession.range(n_states).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_states - 1))).alias("j"))
-    counted = grid.join(F.broadcast(transition_counts(steps)), ["i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = grid.join(transition_counts(steps), ["i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy("i"))
     return counted.select("i", "j", F.when(total > 0, F.col("n") / total).otherwise((F.col("i") == F.col("j")).cast("double")).alias("p"))
 
@@ -35,19 +35,19 @@ def coarse_grain(steps: DataFrame, states: DataFrame) -> DataFrame:
     """Steps between clusters as steps between the states that (cluster, state) maps them to."""
     a = states.select(F.col("cluster").alias("i"), F.col("state").alias("si"))
     b = states.select(F.col("cluster").alias("j"), F.col("state").alias("sj"))
-    return steps.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select(F.col("si").alias("i"), F.col("sj").alias("j"))
+    return steps.join(a, "i").join(b, "j").select(F.col("si").alias("i"), F.col("sj").alias("j"))
 
 
 def path_entropy(steps: DataFrame, matrix: DataFrame, exclude_stays: bool = False, weighted: bool = False) -> DataFrame:
     """Mean of -ln p (or -p ln p) over observed steps with p > 0; null if none."""
     s = steps.where("i <> j") if exclude_stays else steps
-    p = s.join(F.broadcast(matrix), ["i", "j"]).where("p > 0")
+    p = s.join(matrix, ["i", "j"]).where("p > 0")
     return p.agg(F.avg(-F.log("p") * (F.col("p") if weighted else F.lit(1.0))).alias("entropy"))
 
 
 def path_ll(steps: DataFrame, matrix: DataFrame, exclude_stays: bool = False) -> DataFrame:
     s = steps.where("i <> j") if exclude_stays else steps
-    return s.join(F.broadcast(matrix), ["i", "j"]).where("p > 0").agg(F.avg(F.log("p")).alias("ll"))
+    return s.join(matrix, ["i", "j"]).where("p > 0").agg(F.avg(F.log("p")).alias("ll"))
 
 
 def traj_gmean(steps: DataFrame, matrix: DataFrame, exclude_stays: bool = False, reverse: bool = False) -> DataFrame:
@@ -55,7 +55,7 @@ def traj_gmean(steps: DataFrame, matrix: DataFrame, exclude_stays: bool = False,
     s = steps.where("i <> j") if exclude_stays else steps
     if reverse:
         s = s.select("traj_id", F.col("j").alias("i"), F.col("i").alias("j"))
-    return s.join(F.broadcast(matrix), ["i", "j"]).where("p > 0").groupBy("traj_id").agg(F.exp(F.avg(F.log("p"))).alias("gmean"))
+    return s.join(matrix, ["i", "j"]).where("p > 0").groupBy("traj_id").agg(F.exp(F.avg(F.log("p"))).alias("gmean"))
 
 
 def entropy_production(steps: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def avdx_clusters(centers: DataFrame, matrix: DataFrame) -> DataFrame:
     """Each cluster's mean displacement of centres: the sum of p times (x_j - x_i)."""
     a = centers.select(F.col("cluster").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
     b = centers.select(F.col("cluster").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-    p = matrix.join(F.broadcast(a), "i").join(F.broadcast(b), "j")
+    p = matrix.join(a, "i").join(b, "j")
     return p.groupBy(F.col("i").alias("cluster")).agg(F.sum((F.col("xj") - F.col("xi")) * F.col("p")).alias("dx"), F.sum((F.col("yj") - F.col("yi")) * F.col("p")).alias("dy"))
 
 
@@ -127,12 +127,12 @@ def steady_state(m: np.ndarray, conv: float = 1e-3, most: int = 10_000) -> np.nd
 
 
 def kscore(m: np.ndarray, eps: float = 1e-3) -> float:
-    """Sum of 1 / (1 - w) over real eigenvalues 0 < w < 1 that are not one, if one is an eigenvalue, else NaN; absorbing rows are left out."""
+    """Sum of 1 / (1 - w) over the real parts 0 < w < 1 of all eigenvalues that are not one, if one is an eigenvalue, else NaN; absorbing rows are left out."""
     keep = np.diag(m) < 1
-    w = np.linalg.eigvals(m[np.ix_(keep, keep)])
+    w = np.linalg.eigvals(m[np.ix_(keep, keep)]).real
     if not len(w) or not (np.abs(w - 1) < eps).any():
         return float("nan")
-    real = w.real[(np.abs(w.imag) < 1e-12) & (w.real > 0) & (w.real < 1) & (np.abs(w - 1) > eps)]
+    real = w[(w > 0) & (w < 1) & (np.abs(w - 1) > eps)]
     return float((1 / (1 - real)).sum())
 
 

@@ -76,9 +76,15 @@ def _edges(low: float, high: float, n: int) -> list[float]:
     return [low + (high - low) * k / (n - 1) for k in range(n)]
 
 
-def _bin(d: Column, edges: list[float]) -> Column:
-    """The number of the half-open bin that holds d, from 1; 0 under the first edge, len(edges) from the last on."""
-    return F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda k, e: k + (d >= e).cast("int"))
+def _bin(d: Column, low: float, high: float, n: int) -> Column:
+    """The number of the half-open bin that holds d among n even edges, from 1; 0 under the first edge, n from the last on.
+
+    A division finds the bin and a look at its two edges, made by the formula of
+    _edges, corrects what it rounds.
+    """
+    k = F.least(F.greatest(F.floor((d - low) / ((high - low) / (n - 1))) + 1, F.lit(0)), F.lit(n)).cast("int")
+    edge = lambda i: low + F.lit(high - low) * i / F.lit(n - 1)
+    return F.when((k > 0) & (d < edge(k - 1)), k - 1).when((k < n) & (d >= edge(k)), k + 1).otherwise(k)
 
 
 def pair_rdf(a: DataFrame, b: DataFrame, rmax: float = 500.0, nr: int = 50) -> DataFrame:
@@ -87,7 +93,7 @@ def pair_rdf(a: DataFrame, b: DataFrame, rmax: float = 500.0, nr: int = 50) -> D
     g = n / (2 pi r dr), times the volume of all bins over the number of pairs.
     """
     edges = _edges(1e-6, rmax, nr)
-    n = pairs_within(a, b, rmax, [("frame", "frame")]).withColumn("bin", _bin(F.col("d"), edges)).where(F.col("bin").between(1, nr - 1)).groupBy("bin").agg(F.count("*").alias("n"))
+    n = pairs_within(a, b, rmax, [("frame", "frame")]).groupBy(_bin(F.col("d"), 1e-6, rmax, nr).alias("bin")).agg(F.count("*").alias("n"))
     grid = a.sparkSession.createDataFrame([(k, edges[k], 2 * math.pi * edges[k] * (edges[k] - edges[k - 1])) for k in range(1, nr)], "bin int, r double, vol double")
     g = F.broadcast(grid).join(n, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     every = Window.partitionBy()
@@ -96,33 +102,29 @@ def pair_rdf(a: DataFrame, b: DataFrame, rmax: float = 500.0, nr: int = 50) -> D
 
 def pair_cluster_rdf(a: DataFrame, same: str, rmax: float = 500.0, nr: int = 50) -> DataFrame:
     """The share of pairs in each radial bin whose column `same` agrees."""
-    edges = _edges(1e-6, rmax, nr)
-    p = pairs_within(a, a, rmax, [("frame", "frame")]).withColumn("bin", _bin(F.col("d"), edges)).where(F.col("bin").between(1, nr - 1))
+    p = pairs_within(a, a, rmax, [("frame", "frame")]).withColumn("bin", _bin(F.col("d"), 1e-6, rmax, nr)).where(F.col("bin").between(1, nr - 1))
     return p.groupBy("bin").agg(F.count("*").alias("n"), F.avg((F.col(same) == F.col(f"b_{same}")).cast("double")).alias("share"))
 
 
 def dx_rdf(moving: DataFrame, rmax: float = 100.0, nr: int = 8) -> DataFrame:
     """Displacement correlation by separation: the mean over frames of each frame's mean product."""
-    edges = _edges(0.0, rmax, nr)
     p = pairs_within(moving.where("dx is not null"), moving.where("dx is not null"), rmax, [("frame", "frame")])
-    p = p.withColumn("bin", _bin(F.col("d"), edges)).where(F.col("bin").between(1, nr - 1)).withColumn("v", F.col("dx") * F.col("b_dx") + F.col("dy") * F.col("b_dy"))
+    p = p.withColumn("bin", _bin(F.col("d"), 0.0, rmax, nr)).where(F.col("bin").between(1, nr - 1)).withColumn("v", F.col("dx") * F.col("b_dx") + F.col("dy") * F.col("b_dy"))
     return p.groupBy("bin", "frame").agg(F.avg("v").alias("v")).groupBy("bin").agg(F.avg("v").alias("value"), F.count("*").alias("n_frames"))
 
 
 def dx_theta(moving: DataFrame, rcut: float = 100.0, nth: int = 10) -> DataFrame:
     """Shares of angles between displacements of unordered pairs nearer than rcut, in half-open bins of 0..pi."""
-    edges = _edges(0.0, math.pi, nth)
     m = moving.where("dx is not null and (dx <> 0 or dy <> 0)")
     p = _unit(_unit(pairs_within(m, m, rcut, [("frame", "frame")]).where("cell_id > b_cell_id")), "b_")
     theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ux") * F.col("b_ux") + F.col("uy") * F.col("b_uy"))))
-    n = p.withColumn("bin", _bin(theta, edges)).where(F.col("bin").between(1, nth - 1)).groupBy("bin").agg(F.count("*").alias("n"))
+    n = p.withColumn("bin", _bin(theta, 0.0, math.pi, nth)).where(F.col("bin").between(1, nth - 1)).groupBy("bin").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def dx_alpha(moving: DataFrame, rcut: float = 40.0, nth: int = 10) -> DataFrame:
     """Shares of alpha over ordered pairs nearer than rcut, in half-open bins of -2..2."""
-    edges = _edges(-2.0, 2.0, nth)
-    n = alignments(moving, rcut).where("alpha is not null").withColumn("bin", _bin(F.col("alpha"), edges)).where(F.col("bin").between(1, nth - 1)).groupBy("bin").agg(F.count("*").alias("n"))
+    n = alignments(moving, rcut).where("alpha is not null").withColumn("bin", _bin(F.col("alpha"), -2.0, 2.0, nth)).where(F.col("bin").between(1, nth - 1)).groupBy("bin").agg(F.count("*").alias("n"))
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motrac.sources.scratch import materialize
+
 
 def linear_coef(df: DataFrame, y: Column, a: Column, b: Column, by: list[str] | None = None) -> DataFrame:
     """Least squares y = ca a + cb b without a constant, from five sums."""
@@ -29,12 +31,18 @@ def batch_normalization(batch0: DataFrame, batch1: DataFrame, nbins: int = 100,
     Outliers over stdcut standard deviations go; both are put in common bins,
     each bin's cumulated share is matched between the batches, and one is regressed
     on the other with batch 0's counts as weights. Only nbins counts of either
-    batch reach the driver.
+    batch reach the driver. Nulls are left out; where a batch has no value or all
+    values that stay are in one bin, both results are NaN.
     """
+    batch0, batch1 = (b.where("v is not null and not isnan(v)") for b in (batch0, batch1))
     s = [b.agg(F.avg("v"), F.stddev_pop("v")).first() for b in (batch0, batch1)]
-    kept = [b.where(F.abs(F.col("v") - m) < stdcut * sd) for b, (m, sd) in zip((batch0, batch1), s)]
+    if any(m is None for m, _ in s):
+        return float("nan"), float("nan")
+    kept = [b.where((F.abs(F.col("v") - m) < stdcut * sd) | F.lit(sd == 0)) for b, (m, sd) in zip((batch0, batch1), s)]
     ranges = [k.agg(F.min("v"), F.max("v")).first() for k in kept]
     low, high = min(r[0] for r in ranges), max(r[1] for r in ranges)
+    if high <= low:
+        return float("nan"), float("nan")
     count = []
     for k in kept:
         c = np.zeros(nbins)
@@ -46,14 +54,30 @@ def batch_normalization(batch0: DataFrame, batch1: DataFrame, nbins: int = 100,
     match = mid[np.abs(cdf[1][None, :] - cdf[0][:, None]).argmin(1)]
     w = count[0]
     mx, my = np.average(match, weights=w), np.average(mid, weights=w)
-    a = float((w * (match - mx) * (mid - my)).sum() / (w * (match - mx) ** 2).sum())
+    spread = float((w * (match - mx) ** 2).sum())
+    if spread <= 0:
+        return float("nan"), float("nan")
+    a = float((w * (match - mx) * (mid - my)).sum() / spread)
     return a, float(my - a * mx)
 
 
+def prefix_sum(df: DataFrame, value: str, order: list[str], name: str) -> DataFrame:
+    """Adds the sum of value over all rows up to each in the given order, and their sum in all as name_total.
+
+    Rows are dealt by ranges of the order; each range adds up its own, and the
+    sums of the ranges before it, one row a range, go on top.
+    """
+    placed = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy("_range").agg(F.sum(value).alias("_own"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    every = sums.withColumn("_before", F.coalesce(F.sum("_own").over(before), F.lit(0))).crossJoin(sums.agg(F.sum("_own").alias(f"{name}_total"))).drop("_own")
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return placed.join(every, "_range").withColumn(name, F.col("_before") + F.sum(value).over(w)).drop("_range", "_before")
+
+
 def credible_level(df: DataFrame, p: str) -> DataFrame:
     """1 less the cumulated share in ascending order of p, so the densest row gets 0."""
-    w = Window.orderBy(p, "bin")
-    return df.withColumn("level", 1 - F.sum(p).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(p).over(Window.partitionBy()))
+    return prefix_sum(df, p, [p, "bin"], "_sum").withColumn("level", 1 - F.col("_sum") / F.col("_sum_total")).drop("_sum", "_sum_total")
 
 
 def mesh_average(df: DataFrame, v: str, x: str, y: str, width: float) -> DataFrame:
@@ -83,7 +107,8 @@ def state_decomposition(profiles: DataFrame, probs: pd.DataFrame, npermutations:
     """(gene, state, fc): for each gene the mean over subsets of conditions of the bounded least-squares profile.
 
     probs is the small table of conditions by states; profiles (condition, gene,
-    fc) is grouped by gene, a row for each condition.
+    fc) is grouped by gene, a row for each condition. Conditions that probs does
+    not have, and null values, are left out; one that a gene lacks counts as zero.
     """
     n_states = probs.shape[1]
     if n_states > len(probs):
@@ -95,6 +120,8 @@ def state_decomposition(profiles: DataFrame, probs: pd.DataFrame, npermutations:
     names, p = list(probs.columns), probs.to_numpy(float)
     at = {c: i for i, c in enumerate(probs.index)}
 
+    profiles = profiles.where(F.col("condition").isin(list(at)) & F.col("fc").isNotNull())
+
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.zeros(len(at))
         x[[at[c] for c in pdf["condition"]]] = pdf["fc"].to_numpy(float)
@@ -117,5 +144,5 @@ def null_correlations(profiles: DataFrame, states_fc: DataFrame, conditions: lis
     draws = spark.range(nrandom).select(F.col("id").alias("draw"), F.explode(F.array(*map(F.lit, conditions))).alias("condition"))
     total = sum((u(s) for s in states), F.lit(0.0))
     probs = draws.select("draw", "condition", F.explode(F.array(*[F.struct(F.lit(s).alias("state"), (u(s) / total).alias("p")) for s in states])).alias("k")).select("draw", "condition", "k.*")
-    pred = probs.join(F.broadcast(states_fc), "state").groupBy("draw", "condition", "gene").agg(F.sum(F.col("p") * F.col("fc")).alias("null_fc"))
+    pred = probs.join(states_fc, "state").groupBy("draw", "condition", "gene").agg(F.sum(F.col("p") * F.col("fc")).alias("null_fc"))
     return pred.join(profiles, ["condition", "gene"]).where("null_fc > 0 and fc > 0").groupBy("draw", "condition").agg(F.corr(F.log2("null_fc"), F.log2("fc")).alias("corr"))

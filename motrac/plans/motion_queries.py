@@ -136,8 +136,8 @@ SQL["morse_force"] = f"WITH {OBS_SQL}, q AS (SELECT cell_id, y / 20 + 0.3 AS rr
 
 @query(f"WITH {OBS_SQL} SELECT cell_id, round(2.0 * x - avg(2.0 * x) OVER (), 5) + 0.0 AS mean, round(abs(0.5 * x), 6) AS sigma FROM obs")
 def flux_ligdist(spark, sf_dir):
-    mean, sigma = S.flux_ligdist(F.col("x"), 2.0, 0.5)
-    return observations(spark, sf_dir).select("cell_id", r(mean, 5).alias("mean"), r(sigma).alias("sigma"))
+    flux = S.flux_ligdist(observations(spark, sf_dir).select("cell_id", "x"), F.col("x"), 2.0, 0.5)
+    return flux.select("cell_id", r("mean", 5).alias("mean"), r("sigma").alias("sigma"))
 
 
 @query(f"WITH {OBS_SQL}, q AS (SELECT cell_id, x AS a, y AS b, CAST(state AS DOUBLE) AS c, CASE WHEN x + y + state = 0 THEN 1.0 ELSE x + y + state END AS t FROM obs) SELECT cell_id, round(0.5 * (2 * b + c) / t, 6) AS u, round(sqrt(3.0) / 2 * c / t, 6) AS v FROM q")

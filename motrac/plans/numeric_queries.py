@@ -73,9 +73,10 @@ def flux_displacement(spark, sf_dir):
 
 
 def transport_displacement(spark, sf_dir):
+    """Each frame's borders against those of the same label in the frame before; cells are named by frame and label."""
     c = _cloud(spark)
-    now = c.where("frame = 1").select("index", "pt")
-    return B.transport_displacement(now, c.where("frame = 0").select("index", "pt"))
+    name = lambda shift: ((F.col("frame") + shift).cast("long") * 1000 + F.col("index")).alias("index")
+    return B.transport_displacement(c.select(name(0), "pt"), c.select(name(1), "pt")).where("dx is not null")
 
 
 def displacement_deviation(spark, sf_dir):
@@ -90,36 +91,62 @@ def ligand_density(spark, sf_dir):
     return B.ligand_density(pixels(spark)).select("frame", "x", "y", r("density").alias("density"))
 
 
-def _train(spark, sf_dir, n: int = 60):
-    rows = features(spark, sf_dir).where(F.col("cell_id") < n).orderBy("cell_id").collect()
-    return np.array([x["xf"][:3] for x in rows])
+def _train(spark, sf_dir):
+    """All vectors in order, as a time series."""
+    return np.array([x["xf"] for x in features(spark, sf_dir).orderBy("cell_id").select("xf").collect()])
+
+
+def _model(x, m, s: float = 0.5, bta: float = 1e-2):
+    """Kernel model of a series under a metric: (bandwidth, right vectors, eigenvalues, eigenfunctions, modes)."""
+    h = Q.kernel_sigmas(x, m, s, vector=False)
+    k = Q.gaussian_kernel(x[:-1], x[:-1], m, h)
+    _, xi, lam, w = Q.koopman_eig(k, Q.gaussian_kernel(x[:-1], x[1:], m, h), bta)
+    phi, v = Q.koopman_modes(k, xi[:, :5], w[:, :5], x[:-1], bta)
+    return h, xi[:, :5], lam[:5, :5], phi, v
 
 
 def koopman_eigenvalues(spark, sf_dir):
-    """Moduli of the eigenvalues of a kernel model over the first rows as a time series."""
+    """Moduli of all eigenvalues of a kernel model over the rows as a time series."""
     x = _train(spark, sf_dir)
-    h = Q.kernel_sigmas(x, np.eye(3), 0.5)
-    k = Q.gaussian_kernel(x, x, np.eye(3), h)
-    lam = np.sort(np.abs(np.diag(Q.koopman_eig(k[:-1, :-1], k[1:, :-1], 1e-2)[2])))[::-1]
-    return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(lam[:10])], "k int, modulus double")
+    h = Q.kernel_sigmas(x, np.eye(x.shape[1]), 0.5)
+    k = Q.gaussian_kernel(x, x, np.eye(x.shape[1]), h)
+    lam = np.sort(np.abs(np.linalg.eigvals(np.linalg.lstsq(k[:-1, :-1] + 1e-2 * np.eye(len(x) - 1), k[1:, :-1], rcond=None)[0])))[::-1]
+    return spark.createDataFrame([(i, round(float(v), 4)) for i, v in enumerate(lam)], "k int, modulus double")
 
 
 def koopman_inference(spark, sf_dir):
+    """Four steps from each row, by the five leading modes."""
     x = _train(spark, sf_dir)
-    k = Q.gaussian_kernel(x, x, np.eye(3), Q.kernel_sigmas(x, np.eye(3), 0.5))
-    _, xi, lam, w = Q.koopman_eig(k[:-1, :-1], k[1:, :-1], 1e-2)
-    phi, v = Q.koopman_modes(k[:-1, :-1], xi, w, x[:-1], 1e-2)
-    out = Q.koopman_inference([0, 5], 4, phi, v, lam, len(xi))
-    return spark.createDataFrame([(s, t, [round(float(z), 3) for z in out[s, t]]) for s in range(2) for t in range(4)], "start int, step int, x array<double>")
+    _, _, lam, phi, v = _model(x, np.eye(x.shape[1]))
+    out = Q.koopman_inference(np.arange(len(phi)), 4, phi, v, lam, 5)
+    return spark.createDataFrame([(s, t, [round(float(z), 3) for z in out[s, t]]) for s in range(len(out)) for t in range(4)], "start int, step int, x array<double>")
+
+
+def _updated(name, update):
+    def run(spark, sf_dir):
+        x = _train(spark, sf_dir)
+        m = update(x, *_model(x, np.eye(x.shape[1])))
+        return spark.createDataFrame([(i, [round(float(z), 4) + 0.0 for z in row]) for i, row in enumerate(np.abs(m))], "axis int, m array<double>")
+
+    run.__name__, run.__doc__ = name, "Moduli of the metric's entries after one update by five modes of a model of all rows."
+    return run
+
+
+metric_grad = _updated("metric_grad", lambda x, h, xi, lam, phi, v: Q.update_metric_grad(np.eye(x.shape[1]), x[:-1], phi, h))
+metric_jacobian = _updated("metric_jacobian", lambda x, h, xi, lam, phi, v: Q.update_metric_jacobian(np.eye(x.shape[1]), x[:-1], xi, v, lam, h))
+metric_jacobian_log = _updated("metric_jacobian_log", lambda x, h, xi, lam, phi, v: Q.update_metric_jacobian_log(np.eye(x.shape[1]), x[:-1], phi, v, lam, h))
+metric_flux = _updated("metric_flux", lambda x, h, xi, lam, phi, v: Q.update_metric_flux(np.eye(x.shape[1]), x[:-1], phi, v, lam, h))
 
 
 def diffusion_map(spark, sf_dir):
-    f = features(spark, sf_dir).where("cell_id < 100")
-    p = np.zeros((100, 100))
-    for row in E.diffusion_kernel(E.distance_rows(f, f), 0.5, 100).collect():
-        p[row["i"], row["j"]] = row["p"]
+    """Three coordinates of each vector; the kernel keeps 25 neighbours a row, and its matrix is held by the driver."""
+    rows = E.diffusion_kernel(features(spark, sf_dir), 0.5, 25).collect()
+    ids = sorted({row["i"] for row in rows})
+    at, p = {c: k for k, c in enumerate(ids)}, np.zeros((len(ids), len(ids)))
+    for row in rows:
+        p[at[row["i"]], at[row["j"]]] = row["p"]
     x = np.abs(E.diffusion_map(p, 3))
-    return spark.createDataFrame([(i, [round(float(v), 4) for v in x[i]]) for i in range(len(x))], "cell_id int, x array<double>")
+    return spark.createDataFrame([(int(c), [round(float(v), 4) for v in x[k]]) for k, c in enumerate(ids)], "cell_id long, x array<double>")
 
 
 @query(f"WITH {OBS_SQL}, st AS (SELECT state AS i, lead(state) OVER (PARTITION BY traj_id ORDER BY pos) AS j FROM obs) SELECT i, j, count(*) AS n FROM st WHERE j IS NOT NULL GROUP BY ALL")
@@ -128,5 +155,5 @@ def streaming_transitions(spark, sf_dir):
     return transitions.replay(observations(spark, sf_dir))
 
 
-for f in (cell_features, adhesive_displacement, surface_tension, flux_displacement, transport_displacement, displacement_deviation, volume_constraint, ligand_density, koopman_eigenvalues, koopman_inference, diffusion_map):
+for f in (cell_features, adhesive_displacement, surface_tension, flux_displacement, transport_displacement, displacement_deviation, volume_constraint, ligand_density, koopman_eigenvalues, koopman_inference, metric_grad, metric_jacobian, metric_jacobian_log, metric_flux, diffusion_map):
     QUERIES[f.__name__] = f

@@ -20,7 +20,7 @@ sp AS (SELECT c_mktsegment AS condition, o_orderstatus AS state, count(*) AS n F
 sf AS (SELECT o_orderstatus AS state, p_brand AS gene, avg(l_extendedprice) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 al AS (SELECT p_brand AS gene, avg(l_extendedprice) AS m FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 fc AS (SELECT condition, gene, v / m AS fc FROM pf JOIN al USING (gene)), sfc AS (SELECT state, gene, v / m AS fc FROM sf JOIN al USING (gene))"""
-DIST_SQL = "dm AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"
+DIST_SQL = "dm AS (SELECT a.vec_id AS i, b.vec_id AS j, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM embeddings a, embeddings b)"
 
 
 def _bulk(spark, sf_dir):
@@ -82,22 +82,22 @@ def prediction_correlation(spark, sf_dir):
 def state_decomposition(spark, sf_dir):
     fc, probs, _ = _bulk(spark, sf_dir)
     p = probs.toPandas().pivot(index="condition", columns="state", values="p").fillna(0.0)
-    return T.state_decomposition(fc, pd.DataFrame(p), npermutations=20).select("gene", "state", r("fc").alias("fc"))
+    return T.state_decomposition(fc, pd.DataFrame(p)).select("gene", "state", r("fc").alias("fc"))
 
 
 def null_correlations(spark, sf_dir):
     fc, probs, states = _bulk(spark, sf_dir)
     conditions = [x[0] for x in probs.select("condition").distinct().orderBy("condition").collect()]
-    return T.null_correlations(fc, states, conditions, nrandom=50).select("draw", "condition", r("corr").alias("corr"))
+    return T.null_correlations(fc, states, conditions).select("draw", "condition", r("corr").alias("corr"))
 
 
 @query(f"WITH {DIST_SQL} SELECT i, j, round(d, 6) AS d FROM dm")
 def dmat(spark, sf_dir):
     f = features(spark, sf_dir)
-    return E.distance_rows(f.where("cell_id % 100 = 0"), f).select("i", "j", r("d").alias("d"))
+    return E.distance_rows(f, f).select("i", "j", r("d").alias("d"))
 
 
-@query(f"WITH {DIST_SQL} SELECT i, j, round(d, 6) AS d, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank FROM dm WHERE i <> j QUALIFY rank <= 5")
+@query(f"WITH {DIST_SQL} SELECT i, j, round(d, 6) AS d, CAST(row_number() OVER (PARTITION BY i ORDER BY d, j) AS INT) AS rank FROM dm WHERE i <> j AND i % 100 = 0 QUALIFY rank <= 5")
 def knn_topk(spark, sf_dir):
     f = features(spark, sf_dir)
     return E.knn(f.where("cell_id % 100 = 0"), f, 5).select("i", "j", r("d").alias("d"), "rank")
@@ -113,25 +113,25 @@ def assign_nearest_center(spark, sf_dir):
 @query(f"WITH {DIST_SQL} SELECT i, j, round(exp(-d * d / 1.0), 6) AS k FROM dm")
 def gaussian_kernel(spark, sf_dir):
     f = features(spark, sf_dir)
-    return Q.gaussian_kernel_rows(f.where("cell_id % 100 = 0"), f, 0.5).select("i", "j", r("k").alias("k"))
+    return Q.gaussian_kernel_rows(f, f, 0.5).select("i", "j", r("k").alias("k"))
 
 
 @query(f"WITH {DIST_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM dm), a AS (SELECT i, j, exp(-d * d / 1.0) AS a FROM n WHERE k <= 25) SELECT i, j, round(a / sum(a) OVER (PARTITION BY i), 6) AS p FROM a")
 def diffusion_kernel_rownorm(spark, sf_dir):
     f = features(spark, sf_dir)
-    return E.diffusion_kernel(E.distance_rows(f.where("cell_id % 100 = 0"), f), 0.5, 25).select("i", "j", r("p").alias("p"))
+    return E.diffusion_kernel(f, 0.5, 25).select("i", "j", r("p").alias("p"))
 
 
 @query(f"WITH {DIST_SQL}, e AS (SELECT unnest([0.01, 0.1, 1.0, 10.0])::DOUBLE AS eps) SELECT eps, round(ln(sum(exp(-d * d / (2 * eps)))), 6) AS log_sum FROM dm, e GROUP BY eps")
 def scaled_sigma_curve(spark, sf_dir):
     f = features(spark, sf_dir)
-    return E.sigma_curve(E.distance_rows(f.where("cell_id % 100 = 0"), f), [0.01, 0.1, 1.0, 10.0]).select("eps", r("log_sum").alias("log_sum"))
+    return E.sigma_curve(f, [0.01, 0.1, 1.0, 10.0]).select("eps", r("log_sum").alias("log_sum"))
 
 
 @query(f"WITH {DIST_SQL} SELECT i, round(0.05 * var_pop(d), 6) AS sigma FROM dm GROUP BY i")
 def kernel_sigma_vector(spark, sf_dir):
     f = features(spark, sf_dir)
-    return E.distance_rows(f.where("cell_id % 100 = 0"), f).groupBy("i").agg(r(0.05 * F.var_pop("d")).alias("sigma"))
+    return E.distance_variance(f, f).select("i", r(0.05 * F.col("var")).alias("sigma"))
 
 
 @query("SELECT round(0.05 * sqrt(var_pop(v)), 6) AS sigma FROM (SELECT unnest(embedding)::DOUBLE AS v FROM embeddings)")
