@@ -87,6 +87,16 @@ def _bin(d: Column, low: float, high: float, n: int) -> Column:
     return F.when((k > 0) & (d < edge(k - 1)), k - 1).when((k < n) & (d >= edge(k)), k + 1).otherwise(k)
 
 
+def _inside(binned: DataFrame, n: int) -> DataFrame:
+    """Rows whose bin lies between the first and the last of n edges.
+
+    The bins meet a list of numbers: a filter would move through the aggregation
+    into the join of pairs, where the bin would be worked out again.
+    """
+    bins = binned.sparkSession.range(1, n).select(F.col("id").cast("int").alias("bin"))
+    return binned.join(F.broadcast(bins), "bin")
+
+
 def pair_rdf(a: DataFrame, b: DataFrame, rmax: float = 500.0, nr: int = 50) -> DataFrame:
     """Radial distribution of ordered pairs in a frame: bin, r (upper edge), n, g.
 
@@ -102,30 +112,33 @@ def pair_rdf(a: DataFrame, b: DataFrame, rmax: float = 500.0, nr: int = 50) -> D
 
 def pair_cluster_rdf(a: DataFrame, same: str, rmax: float = 500.0, nr: int = 50) -> DataFrame:
     """The share of pairs in each radial bin whose column `same` agrees."""
-    p = pairs_within(a, a, rmax, [("frame", "frame")]).withColumn("bin", _bin(F.col("d"), 1e-6, rmax, nr)).where(F.col("bin").between(1, nr - 1))
-    return p.groupBy("bin").agg(F.count("*").alias("n"), F.avg((F.col(same) == F.col(f"b_{same}")).cast("double")).alias("share"))
+    p = pairs_within(a, a, rmax, [("frame", "frame")]).groupBy(_bin(F.col("d"), 1e-6, rmax, nr).alias("bin"))
+    return _inside(p.agg(F.count("*").alias("n"), F.avg((F.col(same) == F.col(f"b_{same}")).cast("double")).alias("share")), nr)
 
 
 def dx_rdf(moving: DataFrame, rmax: float = 100.0, nr: int = 8) -> DataFrame:
     """Displacement correlation by separation: the mean over frames of each frame's mean product."""
     p = pairs_within(moving.where("dx is not null"), moving.where("dx is not null"), rmax, [("frame", "frame")])
-    p = p.withColumn("bin", _bin(F.col("d"), 0.0, rmax, nr)).where(F.col("bin").between(1, nr - 1)).withColumn("v", F.col("dx") * F.col("b_dx") + F.col("dy") * F.col("b_dy"))
-    return p.groupBy("bin", "frame").agg(F.avg("v").alias("v")).groupBy("bin").agg(F.avg("v").alias("value"), F.count("*").alias("n_frames"))
+    p = p.groupBy(_bin(F.col("d"), 0.0, rmax, nr).alias("bin"), "frame").agg(F.avg(F.col("dx") * F.col("b_dx") + F.col("dy") * F.col("b_dy")).alias("v"))
+    return _inside(p.groupBy("bin").agg(F.avg("v").alias("value"), F.count("*").alias("n_frames")), nr)
+
+
+def _shares(n: DataFrame) -> DataFrame:
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
 def dx_theta(moving: DataFrame, rcut: float = 100.0, nth: int = 10) -> DataFrame:
     """Shares of angles between displacements of unordered pairs nearer than rcut, in half-open bins of 0..pi."""
-    m = moving.where("dx is not null and (dx <> 0 or dy <> 0)")
-    p = _unit(_unit(pairs_within(m, m, rcut, [("frame", "frame")]).where("cell_id > b_cell_id")), "b_")
+    m = _unit(moving.where("dx is not null and (dx <> 0 or dy <> 0)"))
+    p = pairs_within(m, m, rcut, [("frame", "frame")]).where("cell_id > b_cell_id")
     theta = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("ux") * F.col("b_ux") + F.col("uy") * F.col("b_uy"))))
-    n = p.withColumn("bin", _bin(theta, 0.0, math.pi, nth)).where(F.col("bin").between(1, nth - 1)).groupBy("bin").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return _shares(_inside(p.groupBy(_bin(theta, 0.0, math.pi, nth).alias("bin")).agg(F.count("*").alias("n")), nth))
 
 
 def dx_alpha(moving: DataFrame, rcut: float = 40.0, nth: int = 10) -> DataFrame:
     """Shares of alpha over ordered pairs nearer than rcut, in half-open bins of -2..2."""
-    n = alignments(moving, rcut).where("alpha is not null").withColumn("bin", _bin(F.col("alpha"), -2.0, 2.0, nth)).where(F.col("bin").between(1, nth - 1)).groupBy("bin").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    bins = F.when(F.col("alpha").isNotNull(), _bin(F.col("alpha"), -2.0, 2.0, nth)).alias("bin")
+    return _shares(_inside(alignments(moving, rcut).groupBy(bins).agg(F.count("*").alias("n")), nth))
 
 
 def signal_contributions(cells: DataFrame, signal: str, rmax: float = 5.0, scale: float = 1.0) -> DataFrame:
