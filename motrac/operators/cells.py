@@ -145,15 +145,15 @@ def dilate(px: DataFrame, cycles: int = 1) -> DataFrame:
     return px
 
 
-def components(px: DataFrame, group: Column) -> DataFrame:
-    """Connected parts, corners included, of pixels with the same non-null group: (frame, x, y, group, part, the smallest pixel number in it).
+def components(px: DataFrame, group: Column, around: list[tuple[int, int]] = AROUND) -> DataFrame:
+    """Connected parts, corners included unless around says otherwise, of pixels with the same non-null group: (frame, x, y, group, part, the smallest pixel number in it).
 
     Min labels spread to neighbours and then jump to their label's label; each round is written.
     """
     width = 1 << 20
     number = F.col("x").cast("long") * width + F.col("y")
     p = materialize(px.withColumn("group", group).where("group is not null").select("frame", "x", "y", "group", number.alias("part")), "parts")
-    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in [(0, 0), *AROUND]]))
+    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in [(0, 0), *around]]))
     before = None
     while True:
         sent = p.select("frame", "x", "y", "group", "part", shifts.alias("s")).select("frame", (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"), "group", "part")
@@ -244,6 +244,78 @@ def bunches(px: DataFrame, on: Column, least: int) -> DataFrame:
     return p.join(size, ["frame", "part"]).select("frame", "x", "y", "bunch")
 
 
+def bunch_centers(bunched: DataFrame, shifts: DataFrame | None = None) -> DataFrame:
+    """(frame, bunch, x, y): the middle of each bunch less its frame's registration shift."""
+    c = bunched.groupBy("frame", "bunch").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    if shifts is None:
+        return c
+    s = c.join(shifts.select("frame", "tx", "ty"), "frame", "left")
+    return s.select("frame", "bunch", (F.col("x") - F.coalesce("tx", F.lit(0.0))).alias("x"), (F.col("y") - F.coalesce("ty", F.lit(0.0))).alias("y"))
+
+
+def overlaps(px: DataFrame, maxt: int, step: int = 1) -> DataFrame:
+    """(frame, sx, sy, n): cell pixels that each shift of the grid lays on cell pixels of the frame before; zeros too.
+
+    Pixels of a shift meet the earlier frame's by place, counted before they leave.
+    """
+    steps = F.array(*[F.lit(k) for k in range(-maxt, maxt + 1, step)])
+    on = px.where("label > 0").select("frame", "x", "y")
+    grid = px.select("frame").distinct().where("frame > 0").withColumn("sx", F.explode(steps)).withColumn("sy", F.explode(steps))
+    moved = on.withColumn("sx", F.explode(steps)).withColumn("sy", F.explode(steps)).select("frame", "sx", "sy", (F.col("x") + F.col("sx")).alias("x"), (F.col("y") + F.col("sy")).alias("y"))
+    n = moved.join(on.withColumn("frame", F.col("frame") + 1), ["frame", "x", "y"]).groupBy("frame", "sx", "sy").agg(F.count("*").alias("n"))
+    return grid.join(n, ["frame", "sx", "sy"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def best_overlap(px: DataFrame, maxt: int, step: int = 1) -> DataFrame:
+    """Each frame's shift with the most overlap with the frame before; ties to the smaller shift in y, then x."""
+    best = overlaps(px, maxt, step).groupBy("frame").agg(F.min(F.struct((-F.col("n")).alias("n"), "sy", "sx")).alias("k"))
+    return best.select("frame", F.col("k.sx").alias("sx"), F.col("k.sy").alias("sy"), (-F.col("k.n")).alias("n"))
+
+
+def image_shape(px: DataFrame, channels: list[str]) -> DataFrame:
+    """(frame, axes, nx, ny, nz, n_channels) from pixel rows; z is an axis where the table has it, c where there are channels."""
+    z = "z" in px.columns
+    axes = ("z" if z else "") + "xy" + ("c" if channels else "")
+    nz = F.max("z") + 1 if z else F.lit(1)
+    return px.groupBy("frame").agg((F.max("x") + 1).alias("nx"), (F.max("y") + 1).alias("ny"), nz.alias("nz")).select("frame", F.lit(axes).alias("axes"), "nx", "ny", "nz", F.lit(len(channels)).alias("n_channels"))
+
+
+def foreground(px: DataFrame, mask: str | None = None, channel: str | None = None, threshold: float | None = None, stored: str = "foreground") -> DataFrame:
+    """(frame, x, y, fg): a mask's labels over 0, else a channel over a threshold, else the stored foreground; null counts as not."""
+    if mask is not None:
+        on = F.col(mask) > 0
+    elif channel is not None and threshold is not None:
+        on = F.col(channel) > threshold
+    else:
+        on = F.col(stored).cast("boolean")
+    return px.select("frame", "x", "y", F.coalesce(on, F.lit(False)).alias("fg"))
+
+
+def _parts4(px: DataFrame, group: Column) -> DataFrame:
+    return components(px, group, [(1, 0), (-1, 0), (0, 1), (0, -1)])
+
+
+def probability_mask(px: DataFrame, channel: str, pcut: float = 0.8, holefill: int = 0, growth: int = 0) -> DataFrame:
+    """(frame, x, y, on): a channel over pcut, parts of fewer than holefill pixels gone, then holes of fewer filled, then grown and shrunk by growth sides.
+
+    Parts and holes hold together at sides. For a flat opening or closing by
+    area it is the same to cut at pcut before as after.
+    """
+    out = px.select("frame", "x", "y", F.coalesce(F.col(channel) > pcut, F.lit(False)).alias("on"))
+    if holefill:
+        for kind in (True, False):
+            parts = _parts4(out, F.when(F.col("on") == kind, F.lit(1)))
+            small = parts.groupBy("frame", "part").agg(F.count("*").alias("n")).where(F.col("n") < holefill)
+            turned = parts.join(small, ["frame", "part"], "left_semi").select("frame", "x", "y", F.lit(True).alias("_t"))
+            out = materialize(out.join(turned, ["frame", "x", "y"], "left").select("frame", "x", "y", (F.col("on") != F.coalesce("_t", F.lit(False))).alias("on")), "mask")
+    cross = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
+    for k in range(2 * growth):
+        near = out.select("frame", "on", "x", "y", cross.alias("s")).select("frame", (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"), "on")
+        agg = (F.max if k < growth else F.min)(F.col("on"))
+        out = near.groupBy("frame", "x", "y").agg(agg.alias("on")).join(out.select("frame", "x", "y"), ["frame", "x", "y"], "left_semi")
+    return out
+
+
 def border_profile(px: DataFrame, channel: str, depth: int = 2) -> DataFrame:
     """Mean of a channel by ring inside each label's border: ring 0 is the border, 1 what is the border without it, and so on."""
     own, out = px, None

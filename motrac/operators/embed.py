@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motrac.functions.scalar import distance
+from motrac.sources.scratch import materialize
 
 
 #: Rows of either side that a task compares at once.
@@ -66,6 +67,36 @@ def knn(queries: DataFrame, points: DataFrame, k: int, itself: bool = False, blo
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def store_distances(dist: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Rows (i, j, d) of a distance matrix in a folder; rows of an i that is there already are an error unless overwrite is set.
+
+    Folders hold ranges of i, and overwriting replaces whole rows of the matrix only.
+    """
+    placed = dist.withColumn("part", F.floor(F.col("i") / BLOCK)).repartition("part")
+    from pyspark.errors import AnalysisException
+
+    try:
+        old = dist.sparkSession.read.parquet(path)
+    except AnalysisException:
+        old = None
+    if old is not None:
+        known = old.join(dist.select("i").distinct(), "i", "left_semi")
+        if not overwrite and known.head(1):
+            raise ValueError("rows are stored already")
+        kept = old.join(dist.select("i").distinct(), "i", "left_anti").select(*placed.columns)
+        placed = materialize(kept.unionByName(placed), "distances")
+    placed.write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def load_distances(spark, path: str, symmetrize: bool = True) -> DataFrame:
+    """Stored rows (i, j, d); symmetrized, d is the mean of both directions, a missing one left out."""
+    d = spark.read.parquet(path).select("i", "j", "d")
+    if not symmetrize:
+        return d
+    both = d.unionByName(d.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    return both.groupBy("i", "j").agg(F.avg("d").alias("d"))
+
+
 def distance_variance(a: DataFrame, b: DataFrame, block: int = BLOCK) -> DataFrame:
     """(i, var): the population variance of each row's distances to all rows of b, from sums by block."""
 

@@ -157,6 +157,18 @@ def segment_lookup(series: DataFrame, segs: DataFrame, length: int, drop_last: b
     return found.withColumn("n", F.count("*").over(Window.partitionBy("traj_id", "pos"))).where("n = 1").select("traj_id", "pos", "seg_id")
 
 
+def common_rows(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct values of the columns that both tables have, in order; nulls count as equal."""
+    return a.select(*columns).intersect(b.select(*columns)).orderBy(*columns)
+
+
+def sequence_in(sub: Column, full: Column) -> Column:
+    """Whether the array sub stands in full element by element, in one piece; an empty one does."""
+    n = F.size(sub)
+    starts = F.when(F.size(full) >= n, F.sequence(F.lit(1), F.size(full) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return (n == 0) | F.exists(starts, lambda i: F.slice(full, i, n) == sub)
+
+
 def transport_links(cells: DataFrame, points: DataFrame, distcut: float, cost_cut: float | None = None) -> DataFrame:
     """Each cell's parent among the last frame's cells nearer than distcut: the one with the cheapest transport between borders.
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motrac.functions.scalar import dot
 from motrac.operators.lineage import pairs_within
 
 
@@ -147,6 +148,90 @@ def signal_contributions(cells: DataFrame, signal: str, rmax: float = 5.0, scale
     return p.groupBy("cell_id").agg(F.sum(F.try_divide(F.col(f"b_{signal}") * scale, F.col("d"))).alias("received"), F.count("*").alias("n"))
 
 
+def centred_mean(series: DataFrame, value: str, width: int, key: str = "traj_id") -> DataFrame:
+    """Adds mean and n: of a value over the frames from width before a row's to just under width after, within its trajectory."""
+    w = Window.partitionBy(key).orderBy("frame").rangeBetween(-width, width - 1)
+    return series.withColumn("mean", F.avg(value).over(w)).withColumn("n", F.count(value).over(w))
+
+
+def vector_tcf(series: DataFrame, min_length: int = 1) -> DataFrame:
+    """Time correlation of vectors xf by lag: the mean dot product within each trajectory."""
+    return _lagged(series.select("traj_id", "pos", "xf"), dot(F.col("a_xf"), F.col("xf")), min_length)
+
+
+def contact_motility(moving: DataFrame, contacts: DataFrame) -> DataFrame:
+    """(cell_id, speed, alpha, beta): alpha and beta of touching cells, weighted by their share of the contact; null without a parent.
+
+    contacts: (cell_id, other_id, n). Pairs without a direction count as zero.
+    """
+    own = _unit(moving).select("cell_id", "x", "y", "dx", "dy", "ux", "uy")
+    other = own.select(*[F.col(c).alias("other_id" if c == "cell_id" else f"o_{c}") for c in own.columns])
+    p = own.join(contacts, "cell_id").join(other, "other_id")
+    d = F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))
+    alpha = F.try_divide((F.col("ux") - F.col("o_ux")) * (F.col("x") - F.col("o_x")) + (F.col("uy") - F.col("o_uy")) * (F.col("y") - F.col("o_y")), d)
+    beta = F.col("ux") * F.col("o_ux") + F.col("uy") * F.col("o_uy")
+    weighted = lambda v: F.sum(F.coalesce(v * F.col("n"), F.lit(0.0))) / F.sum("n")
+    s = p.groupBy("cell_id").agg(weighted(alpha).alias("a"), weighted(beta).alias("b"))
+    has = F.col("dx").isNotNull()
+    speed = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    return own.join(s, "cell_id", "left").select("cell_id", speed.alias("speed"), F.when(has, F.coalesce("a", F.lit(0.0))).alias("alpha"), F.when(has, F.coalesce("b", F.lit(0.0))).alias("beta"))
+
+
+def point_registration(centers: DataFrame) -> DataFrame:
+    """(frame, tx, ty): the shift of the least-squares turn, scale and shift that takes a frame's centres to their nearest ones before; zero for the first frame or a single point.
+
+    The fit comes from eight sums by frame.
+    """
+    now = centers.select("frame", "label", "x", "y")
+    before = centers.select((F.col("frame") + 1).alias("frame"), F.col("label").alias("_l"), F.col("x").alias("u"), F.col("y").alias("v"))
+    d = (F.col("x") - F.col("u")) * (F.col("x") - F.col("u")) + (F.col("y") - F.col("v")) * (F.col("y") - F.col("v"))
+    near = now.join(before, "frame").groupBy("frame", "label", "x", "y").agg(F.min(F.struct(d.alias("d"), "_l", "u", "v")).alias("k")).select("frame", "x", "y", "k.u", "k.v")
+    x, y, u, v = (F.col(c) for c in "xyuv")
+    s = near.groupBy("frame").agg(*[F.avg(c).alias(f"m{c}") for c in "xyuv"], F.avg(x * x + y * y).alias("s"), F.avg(x * u + y * v).alias("c"), F.avg(x * v - y * u).alias("w"))
+    mx, my, mu, mv = (F.col(f"m{c}") for c in "xyuv")
+    spread = F.col("s") - mx * mx - my * my
+    a, b = (F.try_divide(top, F.when(spread > 1e-9, spread)) for top in (F.col("c") - mx * mu - my * mv, F.col("w") - mx * mv + my * mu))
+    fit = s.select("frame", (mu - a * mx + b * my).alias("tx"), (mv - b * mx - a * my).alias("ty"))
+    return centers.select("frame").distinct().join(fit, "frame", "left").select("frame", F.coalesce("tx", F.lit(0.0)).alias("tx"), F.coalesce("ty", F.lit(0.0)).alias("ty"))
+
+
+def registration_expansion(shifts: DataFrame, nx: int, ny: int) -> DataFrame:
+    """(frame, tx, ty, nx, ny): shifts from their least value and centred by half the largest, and the size that holds all shifted images."""
+    low = shifts.agg(*[f(c).alias(f"_{k}{c}") for c in ("tx", "ty") for k, f in (("a", F.min), ("b", F.max))])
+    wide = lambda c: F.col(f"_b{c}") - F.col(f"_a{c}")
+    moved = lambda c: F.col(c) - F.col(f"_a{c}") - wide(c) / 2
+    return shifts.crossJoin(F.broadcast(low)).select("frame", moved("tx").alias("tx"), moved("ty").alias("ty"), F.floor(nx + wide("tx")).cast("int").alias("nx"), F.floor(ny + wide("ty")).cast("int").alias("ny"))
+
+
+def contact_shift_sum(tile: DataFrame, field: DataFrame, nx: int, ny: int, rp: float, nt: int) -> DataFrame:
+    """(i, j, value): for each shift of a grid over an image, how well a tile's centres meet those of the image, less the mean around.
+
+    A shift's value is the mean contact of the tile's shifted centres with the
+    nearest of the image's centres within the tile's extent, both ways counted
+    as the first; it is zero where there are none, or where some of the mean's
+    window has none. The window is int(2 rp) wide and mirrored at the edges.
+    """
+    from motrac.functions.scalar import dist_to_contact
+
+    box = tile.agg((F.max("x") - F.min("x")).alias("wx"), (F.max("y") - F.min("y")).alias("wy"), F.count("*").alias("m"))
+    size = (nx / (nt - 1), ny / (nt - 1))
+    grid = tile.sparkSession.range(nt * nt).select((F.col("id") % nt).cast("int").alias("i"), F.floor(F.col("id") / nt).cast("int").alias("j"))
+    shifted = grid.crossJoin(F.broadcast(box)).select("i", "j", "wx", "wy", "m", (F.col("i") * size[0]).alias("sx"), (F.col("j") * size[1]).alias("sy"))
+    f = field.select(F.col("x").alias("fx"), F.col("y").alias("fy"))
+    inside = (F.col("fx") > F.col("sx")) & (F.col("fx") < F.col("sx") + F.col("wx")) & (F.col("fy") > F.col("sy")) & (F.col("fy") < F.col("sy") + F.col("wy"))
+    seen = shifted.join(f, inside).crossJoin(F.broadcast(tile.select("label", "x", "y")))
+    r = F.sqrt((F.col("x") + F.col("sx") - F.col("fx")) ** 2 + (F.col("y") + F.col("sy") - F.col("fy")) ** 2)
+    near = seen.groupBy("i", "j", "m", "label").agg(F.min(r).alias("r"))
+    value = near.withColumn("c", dist_to_contact(F.col("r"), rp / 2, rp / 2)).groupBy("i", "j", "m").agg((2 * F.sum(F.when(~F.isnan("c"), F.col("c"))) / F.first("m")).alias("s"))
+    width = int(2 * rp)
+    low, high = -(width // 2), width - 1 - width // 2
+    fold = lambda c: F.when(F.pmod(c, F.lit(2 * nt)) < nt, F.pmod(c, F.lit(2 * nt))).otherwise(2 * nt - 1 - F.pmod(c, F.lit(2 * nt)))
+    offsets = F.explode(F.sequence(F.lit(low), F.lit(high)))
+    window = grid.withColumn("a", offsets).withColumn("b", offsets).select("i", "j", fold(F.col("i") + F.col("a")).alias("p"), fold(F.col("j") + F.col("b")).alias("q"))
+    around = window.join(value.select(F.col("i").alias("p"), F.col("j").alias("q"), "s"), ["p", "q"], "left").groupBy("i", "j").agg(F.when(F.count("s") == F.count("*"), F.avg("s")).alias("mean"))
+    return around.join(value.select("i", "j", "s"), ["i", "j"], "left").select("i", "j", F.coalesce(F.col("s") - F.col("mean"), F.lit(0.0)).alias("value"))
+
+
 def shift_costs(centers: DataFrame, maxt: float, ntrans: int) -> DataFrame:
     """For each frame and each shift of a grid, the two-way sum of nearest distances to the frame before.
 

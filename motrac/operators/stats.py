@@ -80,6 +80,11 @@ def credible_level(df: DataFrame, p: str) -> DataFrame:
     return prefix_sum(df, p, [p, "bin"], "_sum").withColumn("level", 1 - F.col("_sum") / F.col("_sum_total")).drop("_sum", "_sum_total")
 
 
+def wide(long: DataFrame, key: list[str], name: str, value: str, names: list[str]) -> DataFrame:
+    """A row for each key with a column for each given name: its value there, null where there is none, the largest of several."""
+    return long.groupBy(*key).agg(*[F.max(F.when(F.col(name) == n, F.col(value))).alias(n) for n in names])
+
+
 def mesh_average(df: DataFrame, v: str, x: str, y: str, width: float) -> DataFrame:
     """Sum of v over count plus one, in square bins."""
     return df.groupBy(F.floor(F.col(x) / width).cast("int").alias("ix"), F.floor(F.col(y) / width).cast("int").alias("iy")).agg((F.sum(v) / (F.count("*") + 1)).alias("value"))

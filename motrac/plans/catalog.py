@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motrac.plans import cell_queries, lineage_queries, markov_queries, more_queries, motion_queries, numeric_queries, stats_queries
+from motrac.plans import cell_queries, library_queries, lineage_queries, markov_queries, more_queries, motion_queries, numeric_queries, stats_queries
 
-MODULES = (lineage_queries, motion_queries, cell_queries, markov_queries, stats_queries, numeric_queries, more_queries)
+MODULES = (lineage_queries, motion_queries, cell_queries, markov_queries, stats_queries, numeric_queries, more_queries, library_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -70,3 +70,25 @@ def read_hdf5(spark: SparkSession, glob: str, dataset: str = "images/img_{frame}
                         frame += 1
 
     return read_images(spark, glob).mapInPandas(run, "path string, frame int, x int, y int, value double")
+
+
+def treatments(tables: dict[str, DataFrame]) -> DataFrame:
+    """Several data sets as one table with the name of each row's set as treatment; columns that a set lacks are null there."""
+    out = None
+    for name, df in sorted(tables.items()):
+        own = df.withColumn("treatment", F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no data set was given")
+    return out
+
+
+def save_table(df: DataFrame, path: str, overwrite: bool = False) -> int:
+    """Writes a table; 0 if it was written, 1 if the target is there and overwrite is not set."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+    except AnalysisException:
+        return 1
+    return 0
