@@ -177,12 +177,34 @@ def transport_displacement(points: DataFrame, before: DataFrame) -> DataFrame:
     return points.groupBy("index").cogroup(before.groupBy("index")).applyInPandas(one, "index long, pt array<double>, dx array<double>, cost double")
 
 
-def displacement_deviation(points: DataFrame, knn: int = 12) -> DataFrame:
-    """Adds dev: the population variance of |dx| over each point's nearest points of its cell."""
+def _tangent_slopes(p: np.ndarray, f: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """The squared slope of f along the surface at each point, by least squares over its nearest points in the plane they span best."""
+    out = np.zeros(len(p))
+    for i, own in enumerate(near):
+        x, y = p[own] - p[i], f[own] - f[i]
+        plane = np.linalg.eigh(x.T @ x)[1][:, 1:]
+        slope = np.linalg.lstsq(x @ plane, y, rcond=1e-9)[0]
+        out[i] = slope @ slope
+    return out
+
+
+def displacement_deviation(points: DataFrame, knn: int = 12, mode: str = "gradient") -> DataFrame:
+    """Adds dev: how much the displacements dx differ around each point of its cell.
+
+    gradient: the squared slope of |dx| along the surface. plain: the population
+    variance of |dx| over the point's nearest ones. eigen: the summed variances of
+    dx's components over them. Points without a dx have no dev and are no neighbours.
+    """
+    if mode not in ("gradient", "plain", "eigen"):
+        raise ValueError("mode is gradient, plain or eigen")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, size = np.stack(pdf["pt"].to_numpy()), np.sqrt((np.stack(pdf["dx"].to_numpy()) ** 2).sum(1))
-        return pdf.assign(dev=size[_near(p, p, min(knn, len(p)))].var(1))
+        dev, at = np.full(len(pdf), np.nan), np.flatnonzero(pdf["dx"].notna().to_numpy())
+        if len(at):
+            p, dx = np.stack(pdf["pt"].to_numpy()[at]), np.stack(pdf["dx"].to_numpy()[at])
+            size, near = np.sqrt((dx**2).sum(1)), _near(p, p, min(knn, len(p)))
+            dev[at] = _tangent_slopes(p, size, near) if mode == "gradient" else size[near].var(1) if mode == "plain" else dx[near].var(1).sum(1)
+        return pdf.assign(dev=dev)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
     return points.groupBy("frame", "index").applyInPandas(one, f"{fields}, dev double")

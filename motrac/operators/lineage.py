@@ -127,18 +127,37 @@ def ab_runs(series: DataFrame, a: int, b: int | None = None, include_direct: boo
     return marked.groupBy("traj_id", "island").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("stop")).select("traj_id", "start", "stop")
 
 
-def unique_trajectories(paths: DataFrame, extra_depth: int = 0) -> DataFrame:
-    """The greedy cover of a lineage: (owner, pos, cell_id) from (cell_id, ancestor_id, back) of every cell.
+def last_descendants(cells: DataFrame) -> DataFrame:
+    """(cell_id, owner): the highest number among a cell and all its descendants, by pointer doubling.
+
+    A round knows the highest within 2^k steps and hands it 2^k steps up, so a
+    row a cell is written each round, whatever the depth.
+    """
+    jump = materialize(cells.where("parent_id is not null").select("cell_id", "parent_id"), "jump")
+    best = cells.select("cell_id", F.col("cell_id").alias("owner"))
+    while jump.head(1):
+        sent = jump.join(best, "cell_id").groupBy(F.col("parent_id").alias("cell_id")).agg(F.max("owner").alias("_sent"))
+        best = materialize(best.join(sent, "cell_id", "left").select("cell_id", F.greatest("owner", F.coalesce("_sent", "owner")).alias("owner")), "owners")
+        jump = materialize(jump.join(jump.select(F.col("cell_id").alias("parent_id"), F.col("parent_id").alias("_p")), "parent_id").select("cell_id", F.col("_p").alias("parent_id")), "jump")
+    return best
+
+
+def unique_trajectories(cells: DataFrame, extra_depth: int = 0) -> DataFrame:
+    """The greedy cover of a lineage: (owner, pos, cell_id).
 
     The greedy rule takes the highest uncovered cell and walks to the root up to
     what is covered. Numbers grow with frames, so a cell belongs to the highest of
-    its descendants or itself; a chain keeps its own cells and extra_depth more.
+    its descendants or itself, and a chain's cells stand in the order of their
+    numbers; a chain has extra_depth more cells above it, where there are any.
     """
-    owner = paths.groupBy(F.col("ancestor_id").alias("id")).agg(F.max("cell_id").alias("owner"))
-    owned = owner.groupBy("owner").agg(F.count("*").alias("n"))
-    chain = paths.join(owned, paths["cell_id"] == owned["owner"]).where(F.col("back") < F.col("n") + extra_depth)
-    w = Window.partitionBy("owner").orderBy(F.desc("back"))
-    return chain.select("owner", (F.row_number().over(w) - 1).alias("pos"), F.col("ancestor_id").alias("cell_id"))
+    owned = last_descendants(cells)
+    up = cells.where("parent_id is not null").select("cell_id", "parent_id")
+    out, top = owned, owned.groupBy("owner").agg(F.min("cell_id").alias("cell_id"))
+    for _ in range(extra_depth):
+        top = top.join(up, "cell_id").select("owner", F.col("parent_id").alias("cell_id"))
+        out = out.unionByName(top)
+    w = Window.partitionBy("owner").orderBy("cell_id")
+    return out.select("owner", (F.row_number().over(w) - 1).alias("pos"), "cell_id")
 
 
 def sandwich(cells: DataFrame, past: int = 1, future: int = 1) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from motrac.functions import scalar as S
 from motrac.operators import cells as C
 from motrac.operators import motion as M
+from motrac.plans.motion_queries import SHIFT_SQL
 from motrac.plans.registry import r, registry
 from motrac.sources.fixtures import PIXEL_SQL, pixels
 
@@ -145,10 +146,9 @@ def slide_mosaic(spark, sf_dir):
     return C.mosaic(pixels(spark), 32, 3, 4).select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "value")
 
 
+@query(f"""WITH {SHIFT_SQL}, b AS (SELECT frame, sx, sy, row_number() OVER (PARTITION BY frame ORDER BY round(cost, 9), sx, sy) AS k FROM co), f AS (SELECT DISTINCT frame FROM ce),
+t AS (SELECT frame, sum(coalesce(-sx, 0.0)) OVER w AS tx, sum(coalesce(-sy, 0.0)) OVER w AS ty FROM f LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (frame) WINDOW w AS (ORDER BY frame)) SELECT frame, label, round(x - tx, 6) AS x, round(y - ty, 6) AS y FROM ce JOIN t USING (frame)""")
 def registered_positions(spark, sf_dir):
     """Centres less the registration of their frame."""
     px = pixels(spark)
-    return C.positions(px, M.stack_shifts(C.cell_centers(px), 4.0, 9))
-
-
-QUERIES["registered_positions"] = registered_positions
+    return C.positions(px, M.stack_shifts(C.cell_centers(px), 4.0, 9)).select("frame", "label", r("x").alias("x"), r("y").alias("y"))

@@ -58,10 +58,14 @@ def boundary_neighbours(spark, sf_dir):
     return B.nearest_other(_cloud(spark), 4.0).select("frame", "index", F.col("pt")[0].alias("x"), F.col("pt")[1].alias("y"), r("d").alias("d"))
 
 
+@query(f"""WITH {CLOUD_SQL}, d AS (SELECT a.frame, a.label, a.x, a.y, a.z, b.label AS other, b.x - a.x AS ax, b.y - a.y AS ay, b.z - a.z AS az, b.x AS bx, b.y AS byy, b.z AS bz, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM cl a JOIN cl b ON a.frame = b.frame AND a.label <> b.label),
+k AS (SELECT *, greatest(d, 2 / 2 ** (1.0 / 6)) AS rr, 2 / 2 ** (1.0 / 6) AS s FROM d WHERE d <= 4 QUALIFY row_number() OVER (PARTITION BY frame, label, x, y, z ORDER BY d, other, bx, byy, bz) = 1),
+f AS (SELECT *, 0.1 * 48 * (s ** 12 / rr ** 13 - 0.5 * s ** 6 / rr ** 7) / d AS w FROM k), t AS (SELECT max(abs(w) * d) AS top FROM f), c AS (SELECT f.*, CASE WHEN top > 1 THEN 1 / top ELSE 1.0 END AS cap FROM f, t)
+SELECT frame, CAST(label AS BIGINT) AS index, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(w * ax * cap, 6) + 0.0 AS dx, round(w * ay * cap, 6) + 0.0 AS dy, round(w * az * cap, 6) + 0.0 AS dz FROM c""")
 def adhesive_displacement(spark, sf_dir):
     near = B.nearest_other(_cloud(spark), 4.0)
     out = B.adhesive_displacement(near, S.lj_force(F.col("d"), 1.0, 2.0), 0.1, 1.0)
-    return out.select("frame", "index", F.col("pt")[0].alias("x"), F.col("pt")[1].alias("y"), F.transform("dx", lambda v: F.round(v, 6)).alias("dx"))
+    return out.select("frame", "index", F.col("pt")[0].alias("x"), F.col("pt")[1].alias("y"), *[r(F.col("dx")[k]).alias(c) for k, c in enumerate(("dx", "dy", "dz"))])
 
 
 def surface_tension(spark, sf_dir):
@@ -80,7 +84,9 @@ def transport_displacement(spark, sf_dir):
 
 
 def displacement_deviation(spark, sf_dir):
-    return B.displacement_deviation(B.surface_displacement(B.surface_normals(_cloud(spark)))).select("frame", "index", "pt", r("dev").alias("dev"))
+    moved = B.surface_displacement(B.surface_normals(_cloud(spark)))
+    each = [B.displacement_deviation(moved, mode=m).select("frame", "index", "pt", F.lit(m).alias("mode"), r("dev").alias("dev")) for m in ("gradient", "plain", "eigen")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def volume_constraint(spark, sf_dir):
@@ -155,5 +161,5 @@ def streaming_transitions(spark, sf_dir):
     return transitions.replay(observations(spark, sf_dir))
 
 
-for f in (cell_features, adhesive_displacement, surface_tension, flux_displacement, transport_displacement, displacement_deviation, volume_constraint, ligand_density, koopman_eigenvalues, koopman_inference, metric_grad, metric_jacobian, metric_jacobian_log, metric_flux, diffusion_map):
+for f in (cell_features, surface_tension, flux_displacement, transport_displacement, displacement_deviation, volume_constraint, ligand_density, koopman_eigenvalues, koopman_inference, metric_grad, metric_jacobian, metric_jacobian_log, metric_flux, diffusion_map):
     QUERIES[f.__name__] = f

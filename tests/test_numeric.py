@@ -223,3 +223,19 @@ def test_late_observations_are_counted():
     assert arrive([(5, 0, 1), (5, 1, 2)])[["i", "j", "late"]].to_numpy().tolist() == [[1, 2, 0]]
     got = arrive([(5, 0, 9), (5, 1, 9), (5, 2, 3)])
     assert got["late"].tolist() == [2, 0] and got["i"].isna().tolist() == [True, False] and got["j"].tolist()[1] == 3
+
+
+def test_displacement_deviation_modes(spark):
+    """A field that grows by (0.3, 0.4) along a plane has squared slope 0.25; the others are variances of near points."""
+    rng = np.random.default_rng(6)
+    p = [[float(a), float(b), 0.0] for a, b in rng.random((40, 2)) * 10]
+    rows = [(0, 1, q, [3 + 0.3 * q[0] + 0.4 * q[1], 0.0, 0.0]) for q in p] + [(0, 1, [99.0, 0.0, 0.0], None), (0, 2, [0.0, 0.0, 0.0], None)]
+    points = spark.createDataFrame(rows, "frame int, index long, pt array<double>, dx array<double>")
+    got = {m: {tuple(r["pt"]): r["dev"] for r in boundary.displacement_deviation(points, 6, m).collect()} for m in ("gradient", "plain", "eigen")}
+    for q in p:
+        near = sorted(rows[:40], key=lambda r: math.dist(r[2], q))[:6]
+        assert got["gradient"][tuple(q)] == pytest.approx(0.25)
+        assert got["plain"][tuple(q)] == pytest.approx(np.var([r[3][0] for r in near])) and got["eigen"][tuple(q)] == pytest.approx(got["plain"][tuple(q)])
+    assert all(got[m][99.0, 0.0, 0.0] is None and got[m][0.0, 0.0, 0.0] is None for m in got)
+    with pytest.raises(ValueError):
+        boundary.displacement_deviation(points, 6, "other")

@@ -84,9 +84,8 @@ def test_unique_trajectories_is_the_greedy_cover(spark):
     rng = random.Random(1)
     parent = {i: (rng.randrange(max(0, i - 6), i) if i and rng.random() < 0.9 else None) for i in range(60)}
     cells = spark.createDataFrame(list(parent.items()), "cell_id long, parent_id long")
-    paths = L.ancestors(cells, cells)
     for extra in (0, 2):
-        rows = L.unique_trajectories(paths, extra).collect()
+        rows = L.unique_trajectories(cells, extra).collect()
         got = sorted((o, tuple(r["cell_id"] for r in sorted(g, key=lambda r: r["pos"]))) for o, g in itertools.groupby(sorted(rows, key=lambda r: r["owner"]), key=lambda r: r["owner"]))
         assert got == _greedy(parent, extra)
 
