@@ -44,19 +44,19 @@ def wide_states(spark, sf_dir):
 
 @query(f"WITH {PIXEL_SQL} SELECT frame, 'xyc' AS axes, max(x) + 1 AS nx, max(y) + 1 AS ny, 1 AS nz, 2 AS n_channels FROM pixels GROUP BY frame")
 def image_shape(spark, sf_dir):
-    return C.image_shape(pixels(spark), ["c1", "c2"])
+    return C.image_shape(pixels(spark, sf_dir), ["c1", "c2"])
 
 
 @query(f"WITH {PIXEL_SQL} SELECT frame, x, y, c2 > 40 AS fg FROM pixels")
 def foreground(spark, sf_dir):
-    return C.foreground(pixels(spark), channel="c2", threshold=40.0)
+    return C.foreground(pixels(spark, sf_dir), channel="c2", threshold=40.0)
 
 
 @query(f"""WITH {PIXEL_SQL}, o AS (SELECT frame, x, y FROM pixels WHERE label > 0), g AS (SELECT frame, a.range - 3 AS sx, b.range - 3 AS sy FROM (SELECT DISTINCT frame FROM pixels WHERE frame > 0), range(7) a, range(7) b),
 n AS (SELECT g.frame, sx, sy, count(q.x) AS n FROM g LEFT JOIN o p ON p.frame = g.frame LEFT JOIN o q ON q.frame = g.frame - 1 AND q.x = p.x + sx AND q.y = p.y + sy GROUP BY ALL)
 SELECT frame, CAST(sx AS INT) AS sx, CAST(sy AS INT) AS sy, n FROM n QUALIFY row_number() OVER (PARTITION BY frame ORDER BY n DESC, sy, sx) = 1""")
 def best_overlap(spark, sf_dir):
-    return C.best_overlap(pixels(spark), 3)
+    return C.best_overlap(pixels(spark, sf_dir), 3)
 
 
 @query(f"""WITH RECURSIVE {PIXEL_SQL}, on_px AS (SELECT frame, x, y, CAST(x AS BIGINT) * 1048576 + y AS id FROM pixels WHERE label > 0),
@@ -64,7 +64,7 @@ w(frame, x, y, part) AS (SELECT frame, x, y, id FROM on_px UNION SELECT o.frame,
 p AS (SELECT frame, x, y, min(part) AS part FROM w GROUP BY frame, x, y), s AS (SELECT frame, part, avg(x) AS x, avg(y) AS y FROM p GROUP BY frame, part HAVING count(*) > 60)
 SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY part) AS INT) AS bunch, round(x - 0.5 * frame, 6) AS x, round(y + 0.25 * frame, 6) AS y FROM s""")
 def bunch_centers(spark, sf_dir):
-    px = pixels(spark)
+    px = pixels(spark, sf_dir)
     shifts = px.select("frame").distinct().select("frame", (0.5 * F.col("frame")).alias("tx"), (-0.25 * F.col("frame")).alias("ty"))
     return C.bunch_centers(C.bunches(px, F.col("label") > 0, 60), shifts).select("frame", "bunch", r("x").alias("x"), r("y").alias("y"))
 
@@ -73,14 +73,14 @@ def bunch_centers(spark, sf_dir):
 s AS (SELECT frame, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(x, u) + covar_pop(y, v) AS c, covar_pop(x, v) - covar_pop(y, u) AS w, var_pop(x) + var_pop(y) AS s FROM p GROUP BY frame),
 t AS (SELECT frame, mu - c / s * mx + w / s * my AS tx, mv - w / s * mx - c / s * my AS ty FROM s) SELECT f.frame, round(coalesce(tx, 0.0), 4) + 0.0 AS tx, round(coalesce(ty, 0.0), 4) + 0.0 AS ty FROM (SELECT DISTINCT frame FROM ce) f LEFT JOIN t USING (frame)""")
 def point_registration(spark, sf_dir):
-    return M.point_registration(C.cell_centers(pixels(spark))).select("frame", r("tx", 4).alias("tx"), r("ty", 4).alias("ty"))
+    return M.point_registration(C.cell_centers(pixels(spark, sf_dir))).select("frame", r("tx", 4).alias("tx"), r("ty", 4).alias("ty"))
 
 
 @query(f"""WITH {SHIFT_SQL}, b AS (SELECT frame, sx, sy, row_number() OVER (PARTITION BY frame ORDER BY round(cost, 9), sx, sy) AS k FROM co), f AS (SELECT DISTINCT frame FROM ce),
 t AS (SELECT frame, sum(coalesce(-sx, 0.0)) OVER w AS tx, sum(coalesce(-sy, 0.0)) OVER w AS ty FROM f LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (frame) WINDOW w AS (ORDER BY frame)), m AS (SELECT min(tx) AS a, max(tx) - min(tx) AS b, min(ty) AS c, max(ty) - min(ty) AS d FROM t)
 SELECT frame, round(tx - a - b / 2, 6) + 0.0 AS tx, round(ty - c - d / 2, 6) + 0.0 AS ty, CAST(floor(32 + b) AS INT) AS nx, CAST(floor(32 + d) AS INT) AS ny FROM t, m""")
 def registration_expansion(spark, sf_dir):
-    shifts = M.stack_shifts(C.cell_centers(pixels(spark)), 4.0, 9)
+    shifts = M.stack_shifts(C.cell_centers(pixels(spark, sf_dir)), 4.0, 9)
     return M.registration_expansion(shifts, 32, 32).select("frame", r("tx").alias("tx"), r("ty").alias("ty"), "nx", "ny")
 
 
@@ -92,7 +92,7 @@ o AS (SELECT g.i, g.j, dx.range - 4 AS a, dy.range - 4 AS b FROM g, range(8) dx,
 h AS (SELECT i, j, CASE WHEN (i + a + 18) % 18 < 9 THEN (i + a + 18) % 18 ELSE 17 - (i + a + 18) % 18 END AS p, CASE WHEN (j + b + 18) % 18 < 9 THEN (j + b + 18) % 18 ELSE 17 - (j + b + 18) % 18 END AS q FROM o),
 v AS (SELECT h.i, h.j, CASE WHEN count(s.s) = count(*) THEN avg(s.s) END AS mean FROM h LEFT JOIN s ON s.i = h.p AND s.j = h.q GROUP BY ALL) SELECT v.i, v.j, round(coalesce(s.s - mean, 0.0), 6) + 0.0 AS value FROM v LEFT JOIN s USING (i, j)""")
 def contact_shift_sum(spark, sf_dir):
-    c = C.cell_centers(pixels(spark)).where("frame = 0")
+    c = C.cell_centers(pixels(spark, sf_dir)).where("frame = 0")
     return M.contact_shift_sum(c.where("label <= 2"), c, 32, 32, 4.0, 9).select("i", "j", r("value").alias("value"))
 
 
@@ -145,7 +145,7 @@ m AS (SELECT *, x - avg(x) OVER w AS a, y - avg(y) OVER w AS b, z - avg(z) OVER
 SELECT frame, CAST(label AS BIGINT) AS index, CAST(state AS INT) AS state, count(*) AS n, round(avg(q), 6) AS l0, round(sqrt(avg(q * a) ** 2 + avg(q * b) ** 2 + avg(q * c) ** 2) / 3, 6) AS l1 FROM m GROUP BY ALL HAVING max(q) > 0""")
 def contact_multipoles(spark, sf_dir):
     """States are whether the label is odd."""
-    cloud = _cloud(spark).select("frame", "index", "pt")
+    cloud = _cloud(spark, sf_dir).select("frame", "index", "pt")
     near = B.nearest_other(cloud, 4.0).select("frame", "index", "pt", (F.col("nn_index") % 2).cast("int").alias("nn_state"))
     return Y.contact_multipoles(cloud.join(near, ["frame", "index", "pt"], "left"), [0, 1]).select("frame", "index", "state", "n", r("l0").alias("l0"), r("l1").alias("l1"))
 
@@ -156,24 +156,24 @@ l AS (SELECT frame, label, s, avg(q) AS l0, sqrt(avg(q * a) ** 2 + avg(q * b) **
 SELECT c.frame, CAST(c.label AS BIGINT) AS index, round(e.l0, 6) AS l0_near_0, round(e.l1, 6) AS l1_near_0, round(o.l0, 6) AS l0_near_1, round(o.l1, 6) AS l1_near_1 FROM c LEFT JOIN l e ON e.frame = c.frame AND e.label = c.label AND e.s = 0 LEFT JOIN l o ON o.frame = c.frame AND o.label = c.label AND o.s = 1""")
 def library_closeness(spark, sf_dir):
     """The closeness columns of the cells' properties from the boundary library."""
-    p = _properties(spark)
+    p = _properties(spark, sf_dir)
     return p.select("frame", "index", *[r(f"{m}_near_{s}").alias(f"{m}_near_{s}") for s in (0, 1) for m in ("l0", "l1")])
 
 
-def _properties(spark):
-    cloud = _cloud(spark).select("frame", "index", (F.col("index") % 2).cast("int").alias("state"), "pt")
+def _properties(spark, sf_dir):
+    cloud = _cloud(spark, sf_dir).select("frame", "index", (F.col("index") % 2).cast("int").alias("state"), "pt")
     return Y.library_properties(Y.boundary_library(cloud), [0, 1])
 
 
 def library_properties(spark, sf_dir):
     """All properties of the cells' borders, wide."""
-    p = _properties(spark)
+    p = _properties(spark, sf_dir)
     return p.select("frame", "index", *[r(c, 4).alias(c) for c in p.columns if c not in ("frame", "index")])
 
 
 def probability_mask(spark, sf_dir):
     """Pixels of a channel over a cut, cleaned and closed."""
-    return C.probability_mask(pixels(spark).withColumn("p", F.col("c1") / 100), "p", 0.4, 6, 1)
+    return C.probability_mask(pixels(spark, sf_dir).withColumn("p", F.col("c1") / 100), "p", 0.4, 6, 1)
 
 
 for f in (library_properties, probability_mask):

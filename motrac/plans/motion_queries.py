@@ -108,13 +108,13 @@ co AS (SELECT frame, sx, sy, sum(m) AS cost FROM (SELECT frame, sx, sy, l1, min(
 
 @query(f"WITH {SHIFT_SQL} SELECT frame, sx, sy, round(cost, 6) AS cost FROM co")
 def pairwise_distance_sum(spark, sf_dir):
-    return M.shift_costs(C.cell_centers(pixels(spark)), 4.0, 9).select("frame", "sx", "sy", r("cost").alias("cost"))
+    return M.shift_costs(C.cell_centers(pixels(spark, sf_dir)), 4.0, 9).select("frame", "sx", "sy", r("cost").alias("cost"))
 
 
 @query(f"""WITH {SHIFT_SQL}, b AS (SELECT frame, sx, sy, row_number() OVER (PARTITION BY frame ORDER BY round(cost, 9), sx, sy) AS k FROM co), f AS (SELECT DISTINCT frame FROM ce)
 SELECT frame, sum(coalesce(-sx, 0.0)) OVER w + 0.0 AS tx, sum(coalesce(-sy, 0.0)) OVER w + 0.0 AS ty FROM f LEFT JOIN (SELECT * FROM b WHERE k = 1) USING (frame) WINDOW w AS (ORDER BY frame)""")
 def stack_trans(spark, sf_dir):
-    return M.stack_shifts(C.cell_centers(pixels(spark)), 4.0, 9).select("frame", r("tx").alias("tx"), r("ty").alias("ty"))
+    return M.stack_shifts(C.cell_centers(pixels(spark, sf_dir)), 4.0, 9).select("frame", r("tx").alias("tx"), r("ty").alias("ty"))
 
 
 def _force(expr):

@@ -20,12 +20,12 @@ QUERIES, SQL, query = registry()
 
 def cell_features(spark, sf_dir):
     names = ["size", "mean_intensity", "total_intensity", "zernike", "haralick", "boundary_fft", "nucleus_boundary_fft", "contact_fft"]
-    return X.cell_features(pixels(spark), "c1", names).select("frame", "label", F.transform("xf", lambda v: F.round(v, 6)).alias("xf"))
+    return X.cell_features(pixels(spark, sf_dir), "c1", names).select("frame", "label", F.transform("xf", lambda v: F.round(v, 6)).alias("xf"))
 
 
 @query(f"WITH {PIXEL_SQL} SELECT frame, label, CAST(count(*) AS DOUBLE) AS size, round(avg(c1), 6) AS mean, round(sum(c1), 6) AS total FROM pixels WHERE label > 0 GROUP BY ALL")
 def region_features(spark, sf_dir):
-    f = X.cell_features(pixels(spark), "c1", ["size", "mean_intensity", "total_intensity"])
+    f = X.cell_features(pixels(spark, sf_dir), "c1", ["size", "mean_intensity", "total_intensity"])
     return f.select("frame", "label", F.col("xf")[0].alias("size"), r(F.col("xf")[1]).alias("mean"), r(F.col("xf")[2]).alias("total"))
 
 
@@ -34,12 +34,12 @@ def apply_slices(spark, sf_dir):
     def step(img):
         return np.diff(img, axis=0, prepend=img[:1])
 
-    return X.apply_slices(pixels(spark), step, "c1", ["frame"])
+    return X.apply_slices(pixels(spark, sf_dir), step, "c1", ["frame"])
 
 
-def _cloud(spark):
+def _cloud(spark, sf_dir):
     """Border pixels of the masks as points with a depth, a charge and a neighbour."""
-    b = C.borders(pixels(spark))
+    b = C.borders(pixels(spark, sf_dir))
     return b.select("frame", F.col("label").cast("long").alias("index"), F.array(F.col("x").cast("double"), F.col("y").cast("double"), ((F.col("x") + F.col("y")) % 3).cast("double")).alias("pt"), ((F.col("x") * 3 + F.col("y")) % 5 - 2).cast("double").alias("q"))
 
 
@@ -49,13 +49,13 @@ CLOUD_SQL = f"{PIXEL_SQL}, bo AS (SELECT frame, x, y, label FROM (SELECT p.frame
 @query(f"""WITH {CLOUD_SQL}, m AS (SELECT frame, label, q, x - avg(x) OVER w AS a, y - avg(y) OVER w AS b, z - avg(z) OVER w AS c FROM cl WINDOW w AS (PARTITION BY frame, label))
 SELECT frame, CAST(label AS BIGINT) AS index, round(avg(q), 6) + 0.0 AS l0, round(sqrt(avg(q * a) ** 2 + avg(q * b) ** 2 + avg(q * c) ** 2) / 3, 6) AS l1 FROM m GROUP BY ALL""")
 def multipole_l01(spark, sf_dir):
-    return B.multipoles(_cloud(spark), "q", ["frame", "index"]).select("frame", "index", r("l0").alias("l0"), r("l1").alias("l1"))
+    return B.multipoles(_cloud(spark, sf_dir), "q", ["frame", "index"]).select("frame", "index", r("l0").alias("l0"), r("l1").alias("l1"))
 
 
 @query(f"""WITH {CLOUD_SQL}, d AS (SELECT a.frame, a.label, a.x, a.y, b.label AS other, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM cl a JOIN cl b ON a.frame = b.frame AND a.label <> b.label)
 SELECT frame, CAST(label AS BIGINT) AS index, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(min(d), 6) AS d FROM d WHERE d <= 4 GROUP BY ALL""")
 def boundary_neighbours(spark, sf_dir):
-    return B.nearest_other(_cloud(spark), 4.0).select("frame", "index", F.col("pt")[0].alias("x"), F.col("pt")[1].alias("y"), r("d").alias("d"))
+    return B.nearest_other(_cloud(spark, sf_dir), 4.0).select("frame", "index", F.col("pt")[0].alias("x"), F.col("pt")[1].alias("y"), r("d").alias("d"))
 
 
 @query(f"""WITH {CLOUD_SQL}, d AS (SELECT a.frame, a.label, a.x, a.y, a.z, b.label AS other, b.x - a.x AS ax, b.y - a.y AS ay, b.z - a.z AS az, b.x AS bx, b.y AS byy, b.z AS bz, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM cl a JOIN cl b ON a.frame = b.frame AND a.label <> b.label),
@@ -63,38 +63,38 @@ k AS (SELECT *, greatest(d, 2 / 2 ** (1.0 / 6)) AS rr, 2 / 2 ** (1.0 / 6) AS s F
 f AS (SELECT *, 0.1 * 48 * (s ** 12 / rr ** 13 - 0.5 * s ** 6 / rr ** 7) / d AS w FROM k), t AS (SELECT max(abs(w) * d) AS top FROM f), c AS (SELECT f.*, CASE WHEN top > 1 THEN 1 / top ELSE 1.0 END AS cap FROM f, t)
 SELECT frame, CAST(label AS BIGINT) AS index, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(w * ax * cap, 6) + 0.0 AS dx, round(w * ay * cap, 6) + 0.0 AS dy, round(w * az * cap, 6) + 0.0 AS dz FROM c""")
 def adhesive_displacement(spark, sf_dir):
-    near = B.nearest_other(_cloud(spark), 4.0)
+    near = B.nearest_other(_cloud(spark, sf_dir), 4.0)
     out = B.adhesive_displacement(near, S.lj_force(F.col("d"), 1.0, 2.0), 0.1, 1.0)
     return out.select("frame", "index", F.col("pt")[0].alias("x"), F.col("pt")[1].alias("y"), *[r(F.col("dx")[k]).alias(c) for k, c in enumerate(("dx", "dy", "dz"))])
 
 
 def surface_tension(spark, sf_dir):
-    return B.surface_displacement(B.surface_normals(_cloud(spark))).select("frame", "index", "pt", F.transform("dx", lambda v: F.round(v, 6)).alias("dx"))
+    return B.surface_displacement(B.surface_normals(_cloud(spark, sf_dir))).select("frame", "index", "pt", F.transform("dx", lambda v: F.round(v, 6)).alias("dx"))
 
 
 def flux_displacement(spark, sf_dir):
-    return B.flux_displacement(B.surface_normals(_cloud(spark)), 0.1, 0.5, seed=3).select("frame", "index", "pt", F.transform("dx", lambda v: F.round(v, 6)).alias("dx"))
+    return B.flux_displacement(B.surface_normals(_cloud(spark, sf_dir)), 0.1, 0.5, seed=3).select("frame", "index", "pt", F.transform("dx", lambda v: F.round(v, 6)).alias("dx"))
 
 
 def transport_displacement(spark, sf_dir):
     """Each frame's borders against those of the same label in the frame before; cells are named by frame and label."""
-    c = _cloud(spark)
+    c = _cloud(spark, sf_dir)
     name = lambda shift: ((F.col("frame") + shift).cast("long") * 1000 + F.col("index")).alias("index")
     return B.transport_displacement(c.select(name(0), "pt"), c.select(name(1), "pt")).where("dx is not null")
 
 
 def displacement_deviation(spark, sf_dir):
-    moved = B.surface_displacement(B.surface_normals(_cloud(spark)))
+    moved = B.surface_displacement(B.surface_normals(_cloud(spark, sf_dir)))
     each = [B.displacement_deviation(moved, mode=m).select("frame", "index", "pt", F.lit(m).alias("mode"), r("dev").alias("dev")) for m in ("gradient", "plain", "eigen")]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def volume_constraint(spark, sf_dir):
-    return B.constrain_volume(_cloud(spark).select("frame", "index", "pt"), 100.0).groupBy("frame", "index").agg(r(F.first("volume"), 4).alias("volume"))
+    return B.constrain_volume(_cloud(spark, sf_dir).select("frame", "index", "pt"), 100.0).groupBy("frame", "index").agg(r(F.first("volume"), 4).alias("volume"))
 
 
 def ligand_density(spark, sf_dir):
-    return B.ligand_density(pixels(spark)).select("frame", "x", "y", r("density").alias("density"))
+    return B.ligand_density(pixels(spark, sf_dir)).select("frame", "x", "y", r("density").alias("density"))
 
 
 def _train(spark, sf_dir):

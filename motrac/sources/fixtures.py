@@ -39,22 +39,23 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("xf"), "label")
 
 
-#: Discs of the synthetic masks: label, centre x at frame 0, centre y, radius, step of x per frame, first and last frame.
+#: Discs of the synthetic masks: label, centre x at frame 0, centre y, radius, step of x per frame, first and last frame of each six.
 DISCS = [(1, 6, 6, 3, 1, 0, 5), (2, 13, 6, 4, 0, 0, 5), (3, 24, 8, 5, -1, 0, 4), (5, 8, 20, 4, 1, 0, 5), (6, 17, 21, 5, 0, 0, 3), (7, 26, 24, 4, 0, 3, 5)]
 
 
 def _disc_sql() -> str:
-    return "CASE " + " ".join(f"WHEN frame BETWEEN {a} AND {b} AND (x - ({cx} + {step} * frame)) * (x - ({cx} + {step} * frame)) + (y - {cy}) * (y - {cy}) <= {r * r} THEN {k}" for k, cx, cy, r, step, a, b in DISCS) + " ELSE 0 END"
+    return "CASE " + " ".join(f"WHEN frame % 6 BETWEEN {a} AND {b} AND (x - ({cx} + {step} * (frame % 6))) * (x - ({cx} + {step} * (frame % 6))) + (y - {cy}) * (y - {cy}) <= {r * r} THEN {k}" for k, cx, cy, r, step, a, b in DISCS) + " ELSE 0 END"
 
 
 PIXEL_SQL = f"""pixels AS (SELECT frame, x, y, {_disc_sql()} AS label,
   CAST((x * 7 + y * 13 + frame * 3) % 101 AS DOUBLE) AS c1, CAST((x * x + 3 * y + frame * 5) % 97 AS DOUBLE) AS c2
-  FROM (SELECT CAST(a.range AS INT) AS frame, CAST(b.range AS INT) AS x, CAST(c.range AS INT) AS y FROM range(6) a, range(32) b, range(32) c))"""
+  FROM (SELECT CAST(a.range AS INT) AS frame, CAST(b.range AS INT) AS x, CAST(c.range AS INT) AS y FROM range(6 * greatest(1, (SELECT count(*) // 150 FROM customer))) a, range(32) b, range(32) c))"""
 
 
-def pixels(spark: SparkSession) -> DataFrame:
-    """Six frames of 32 by 32 labelled pixels with two channels."""
-    grid = spark.range(6 * 32 * 32).select((F.col("id") / 1024).cast("int").alias("frame"), ((F.col("id") % 1024) / 32).cast("int").alias("x"), (F.col("id") % 32).cast("int").alias("y"))
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 32 by 32 labelled pixels with two channels, six for every 150 customers: the movie grows with the tables."""
+    frames = 6 * max(1, table(spark, sf_dir, "customer").count() // 150)
+    grid = spark.range(frames * 1024).select(F.floor(F.col("id") / 1024).cast("int").alias("frame"), F.floor(F.col("id") % 1024 / 32).cast("int").alias("x"), (F.col("id") % 32).cast("int").alias("y"))
     return grid.select(
         "frame", "x", "y", F.expr(_disc_sql()).alias("label"),
         ((F.col("x") * 7 + F.col("y") * 13 + F.col("frame") * 3) % 101).cast("double").alias("c1"),
