@@ -14,7 +14,8 @@ def dist_to_contact(r: Column, r0: float, d0: float, n: int = 6, m: int = 12) ->
 
 
 def yukawa_force(r: Column, eps: float, R: float = 1.0) -> Column:
-    return eps * F.exp(-r / R) * (r + R) / (R * r * r)
+    """Null at r = 0."""
+    return F.try_divide(eps * F.exp(-r / R) * (r + R), R * r * r)
 
 
 def lj_force(r: Column, eps: float, R: float = 1.0, max_repulsion: bool = True) -> Column:
@@ -52,15 +53,22 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def znorm(v: Column, *by: str) -> Column:
-    """(v - mean) / population standard deviation, NaN left out of both."""
+    """(v - mean) / population standard deviation, NaN left out of both; null where all values are equal."""
     w = Window.partitionBy(*by)
     known = F.when(~F.isnan(v), v)
-    return (v - F.avg(known).over(w)) / F.stddev_pop(known).over(w)
+    return F.try_divide(v - F.avg(known).over(w), F.stddev_pop(known).over(w))
 
 
 def rescale_to_int(v: Column, *by: str, maxint: int = 65535) -> Column:
+    """Whole numbers from 0 for the least value to maxint for the largest; null where all values are equal."""
     w = Window.partitionBy(*by)
-    return F.floor(maxint * (v - F.min(v).over(w)) / (F.max(v).over(w) - F.min(v).over(w))).cast("int")
+    return F.floor(F.try_divide(maxint * (v - F.min(v).over(w)), F.max(v).over(w) - F.min(v).over(w))).cast("int")
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation of the rows that have both; null where either is constant or none has."""
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def make_odd(x: Column) -> Column:

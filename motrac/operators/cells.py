@@ -1,19 +1,34 @@
 """Cells from labelled pixels: index, boxes, centres, intensities, masks, borders, contacts.
 
-Pixels are rows (frame, x, y, label, channels...); label 0 is background.
+Pixels are rows (frame, x, y, label, channels...); label 0 is background, and so
+is a null label. Index, boxes, centres, borders and contacts work in three
+dimensions where the table has a z. Empty tables give empty results; of repeated
+pixels each counts.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motrac.functions.scalar import correlation
 from motrac.sources.scratch import materialize
 
 #: Neighbours of a pixel: itself not included, corners included.
 AROUND = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 
 
+def _axes(px: DataFrame) -> list[str]:
+    return ["x", "y", "z"] if "z" in px.columns else ["x", "y"]
+
+
+def _sides(axes: list[str]) -> list[tuple[int, ...]]:
+    """Steps to the neighbours at a side: four in a picture, six in a stack."""
+    return [tuple(s * (k == a) for k in range(len(axes))) for a in range(len(axes)) for s in (1, -1)]
+
+
 def frame_counts(px: DataFrame) -> DataFrame:
     """Cells by frame, for the frames from 0 up to the first that is missing."""
     n = px.groupBy("frame").agg(F.count_distinct(F.when(F.col("label") > 0, F.col("label"))).alias("n_cells"))
@@ -21,17 +36,19 @@ def frame_counts(px: DataFrame) -> DataFrame:
 
 
 def cell_index(px: DataFrame) -> DataFrame:
-    """cell_id (frames, then labels, ascending), ind within its frame, box [min, max)."""
-    own = px.where("label > 0").groupBy("frame", "label").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"), F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.count("*").alias("n_pixels"))
+    """cell_id (frames, then labels, ascending), ind within its frame, box [min, max) along each axis."""
+    box = [c for a in _axes(px) for c in (F.min(a).alias(f"{a}0"), (F.max(a) + 1).alias(f"{a}1"))]
+    own = px.where("label > 0").groupBy("frame", "label").agg(*box, F.count("*").alias("n_pixels"))
     own = own.withColumn("ind", F.row_number().over(Window.partitionBy("frame").orderBy("label")) - 1)
     # Numbers run on over frames: a frame's first is the number of cells before it, one row a frame.
     sizes = own.groupBy("frame").agg(F.count("*").alias("n"))
     first = sizes.select("frame", F.coalesce(F.sum("n").over(Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return own.join(first, "frame").select((F.col("first") + F.col("ind")).alias("cell_id"), "frame", "ind", "label", "x0", "x1", "y0", "y1", "n_pixels")
+    return own.join(first, "frame").select((F.col("first") + F.col("ind")).alias("cell_id"), "frame", "ind", "label", *[f"{a}{k}" for a in _axes(px) for k in (0, 1)], "n_pixels")
 
 
-def cell_centers(px: DataFrame) -> DataFrame:
-    return px.where("label > 0").groupBy("frame", "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+def cell_centers(px: DataFrame, zscale: float = 1.0) -> DataFrame:
+    """Each cell's mean place; z in units of the other axes by zscale."""
+    return px.where("label > 0").groupBy("frame", "label").agg(*[(F.avg(a) * (zscale if a == "z" else 1.0)).alias(a) for a in _axes(px)])
 
 
 def positions(px: DataFrame, shifts: DataFrame) -> DataFrame:
@@ -62,13 +79,13 @@ def compartment_ratio(px: DataFrame, channel: str, inner: Column, use_sum: bool
 
 
 def channel_crosscorr(px: DataFrame, a: str, b: str) -> DataFrame:
-    return px.where("label > 0").groupBy("frame", "label").agg(F.corr(a, b).alias("corr"))
+    return px.where("label > 0").groupBy("frame", "label").agg(correlation(F.col(a), F.col(b)).alias("corr"))
 
 
 def histogram_stretch(px: DataFrame, channel: str, lp: float = 1, hp: float = 99) -> DataFrame:
-    """(v - low) / (high - low) by each frame's percentiles, without clipping."""
+    """(v - low) / (high - low) by each frame's percentiles, without clipping; null where they are equal."""
     q = px.groupBy("frame").agg(F.expr(f"percentile({channel}, array({lp / 100}, {hp / 100}))").alias("q"))
-    return px.join(q, "frame").withColumn("stretched", (F.col(channel) - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0])).drop("q")
+    return px.join(q, "frame").withColumn("stretched", F.try_divide(F.col(channel) - F.col("q")[0], F.col("q")[1] - F.col("q")[0])).drop("q")
 
 
 def feature_map(px: DataFrame, features: DataFrame, name: str) -> DataFrame:
@@ -95,26 +112,30 @@ def clean_labels(px: DataFrame, minsize: int | None = None, maxsize: int | None
     return px.join(own, ["frame", "label"]).select("frame", "x", "y", "label", "new_label")
 
 
-def _neighbours(px: DataFrame, offsets: list[tuple[int, int]], name: str = "other") -> DataFrame:
+def _neighbours(px: DataFrame, offsets: list[tuple[int, ...]], name: str = "other") -> DataFrame:
     """Each labelled pixel with the label at each offset; null outside the image. An equi join over shifted copies."""
-    shifts = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets]))
-    seen = px.select("frame", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("label").alias(name))
-    moved = px.where("label > 0").select("frame", "x", "y", "label", shifts.alias("s")).withColumn("_x", F.col("x") + F.col("s.a")).withColumn("_y", F.col("y") + F.col("s.b"))
-    return moved.join(seen, ["frame", "_x", "_y"], "left").select("frame", "x", "y", "label", name)
+    axes = _axes(px)
+    shifts = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(axes, o)]) for o in offsets]))
+    seen = px.select("frame", *[F.col(a).alias(f"_{a}") for a in axes], F.coalesce("label", F.lit(0)).alias(name))
+    moved = px.where("label > 0").select("frame", *axes, "label", shifts.alias("s"))
+    moved = moved.select("*", *[(F.col(a) + F.col(f"s.{a}")).alias(f"_{a}") for a in axes])
+    return moved.join(seen, ["frame", *[f"_{a}" for a in axes]], "left").select("frame", *axes, "label", name)
 
 
 def borders(px: DataFrame) -> DataFrame:
     """Pixels of cells with a side neighbour that is another label or outside the image."""
-    n = _neighbours(px, [(1, 0), (-1, 0), (0, 1), (0, -1)])
-    return n.where((F.col("other") != F.col("label")) | F.col("other").isNull()).select("frame", "x", "y", "label").distinct()
+    axes = _axes(px)
+    n = _neighbours(px, _sides(axes))
+    return n.where((F.col("other") != F.col("label")) | F.col("other").isNull()).select("frame", *axes, "label").distinct()
 
 
 def contacts(px: DataFrame, radius: int = 1) -> DataFrame:
     """Border pixels with another cell within radius: that cell's label, the smallest if several."""
-    disk = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if 0 < a * a + b * b <= radius * radius]
-    n = _neighbours(px, disk).where((F.col("other") > 0) & (F.col("other") != F.col("label")))
-    near = n.groupBy("frame", "x", "y", "label").agg(F.min("other").alias("contact"))
-    return near.join(borders(px), ["frame", "x", "y", "label"], "left_semi")
+    axes = _axes(px)
+    ball = [o for o in product(range(-radius, radius + 1), repeat=len(axes)) if 0 < sum(v * v for v in o) <= radius * radius]
+    n = _neighbours(px, ball).where((F.col("other") > 0) & (F.col("other") != F.col("label")))
+    near = n.groupBy("frame", *axes, "label").agg(F.min("other").alias("contact"))
+    return near.join(borders(px), ["frame", *axes, "label"], "left_semi")
 
 
 def contact_edges(px: DataFrame, radius: int = 1) -> DataFrame:
@@ -131,9 +152,10 @@ def neighbour_feature(px: DataFrame, features: DataFrame, name: str, radius: int
 
 def cc_cs_border(px: DataFrame) -> DataFrame:
     """Border pixels that touch background at a side (cell-stroma) or do not (cell-cell)."""
-    n = _neighbours(px, [(1, 0), (-1, 0), (0, 1), (0, -1)])
-    free = n.groupBy("frame", "x", "y", "label").agg(F.max((F.col("other") == 0).cast("int")).alias("free"))
-    return borders(px).join(free, ["frame", "x", "y", "label"]).select("frame", "x", "y", "label", F.when(F.col("free") == 1, "cs").otherwise("cc").alias("kind"))
+    axes = _axes(px)
+    n = _neighbours(px, _sides(axes))
+    free = n.groupBy("frame", *axes, "label").agg(F.max((F.col("other") == 0).cast("int")).alias("free"))
+    return borders(px).join(free, ["frame", *axes, "label"]).select("frame", *axes, "label", F.when(F.col("free") == 1, "cs").otherwise("cc").alias("kind"))
 
 
 def dilate(px: DataFrame, cycles: int = 1) -> DataFrame:

@@ -138,23 +138,35 @@ def contact_fft(mask, intensity, ncomp: int = 15, nth: int = 256) -> np.ndarray:
 FEATURES: dict[str, Feature] = {"size": size, "mean_intensity": mean_intensity, "total_intensity": total_intensity, "zernike": zernike, "haralick": haralick, "boundary_fft": boundary_fft, "nucleus_boundary_fft": nucleus_boundary_fft, "contact_fft": contact_fft}
 
 
+#: Features that are taken of a whole stack; others are the mean over its slices, slices without a number left out.
+WHOLE = frozenset(("size", "mean_intensity", "total_intensity"))
+
+
+def _of_stack(f: Feature, whole: bool, mask: np.ndarray, img: np.ndarray) -> np.ndarray:
+    if mask.ndim == 2 or whole:
+        return np.atleast_1d(f(mask.copy(), img.copy()))
+    each = np.array([np.atleast_1d(f(m.copy(), v.copy())) for m, v in zip(mask, img) if m.any()])
+    known = ~np.isnan(each)
+    return np.where(known.any(0), np.where(known, each, 0).sum(0) / np.maximum(known.sum(0), 1), np.nan)
+
+
 def cell_features(px: DataFrame, channel: str, names: list[str], preprocess: list[Callable] | None = None, registry: dict[str, Feature] | None = None) -> DataFrame:
-    """(frame, label, xf): the named features of each cell one after another. One group is one cell's pixels."""
-    functions = [(registry or FEATURES)[n] for n in names]
-    steps = list(preprocess or [])
+    """(frame, label, xf): the named features of each cell one after another. One group is one cell's pixels, a stack where the table has a z."""
+    functions = [((registry or FEATURES)[n], registry is None and n in WHOLE) for n in names]
+    steps, axes = list(preprocess or []), ["z", "y", "x"] if "z" in px.columns else ["y", "x"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        shape = (y.max() - y.min() + 1, x.max() - x.min() + 1)
+        at = tuple(pdf[a].to_numpy() - pdf[a].min() for a in axes)
+        shape = tuple(int(a.max()) + 1 for a in at)
         mask, img = np.zeros(shape, bool), np.full(shape, np.nan)
-        mask[y - y.min(), x - x.min()] = True
-        img[y - y.min(), x - x.min()] = pdf[channel].to_numpy(float)
+        mask[at] = True
+        img[at] = pdf[channel].to_numpy(float)
         for s in steps:
             img = s(img)
-        out = np.concatenate([np.atleast_1d(f(mask.copy(), img.copy())) for f in functions])
+        out = np.concatenate([_of_stack(f, whole, mask, img) for f, whole in functions])
         return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "label": [pdf["label"].iloc[0]], "xf": [out.astype(float)]})
 
-    return px.where("label > 0").select("frame", "label", "x", "y", channel).groupBy("frame", "label").applyInPandas(one, "frame int, label int, xf array<double>")
+    return px.where("label > 0").select("frame", "label", *axes, channel).groupBy("frame", "label").applyInPandas(one, "frame int, label int, xf array<double>")
 
 
 def apply_slices(px: DataFrame, function: Callable[[np.ndarray], np.ndarray], channel: str, key: list[str]) -> DataFrame:

@@ -101,14 +101,14 @@ def _inside(binned: DataFrame, n: int) -> DataFrame:
 def pair_rdf(a: DataFrame, b: DataFrame, rmax: float = 500.0, nr: int = 50) -> DataFrame:
     """Radial distribution of ordered pairs in a frame: bin, r (upper edge), n, g.
 
-    g = n / (2 pi r dr), times the volume of all bins over the number of pairs.
+    g = n / (2 pi r dr), times the volume of all bins over the number of pairs; null without pairs.
     """
     edges = _edges(1e-6, rmax, nr)
     n = pairs_within(a, b, rmax, [("frame", "frame")]).groupBy(_bin(F.col("d"), 1e-6, rmax, nr).alias("bin")).agg(F.count("*").alias("n"))
     grid = a.sparkSession.createDataFrame([(k, edges[k], 2 * math.pi * edges[k] * (edges[k] - edges[k - 1])) for k in range(1, nr)], "bin int, r double, vol double")
     g = F.broadcast(grid).join(n, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     every = Window.partitionBy()
-    return g.select("bin", "r", "n", (F.col("n") / F.col("vol") * F.sum("vol").over(every) / F.sum("n").over(every)).alias("g"))
+    return g.select("bin", "r", "n", F.try_divide(F.col("n") / F.col("vol") * F.sum("vol").over(every), F.sum("n").over(every)).alias("g"))
 
 
 def pair_cluster_rdf(a: DataFrame, same: str, rmax: float = 500.0, nr: int = 50) -> DataFrame:

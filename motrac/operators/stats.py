@@ -9,14 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from motrac.functions.scalar import correlation
 from motrac.sources.scratch import materialize
 
 
 def linear_coef(df: DataFrame, y: Column, a: Column, b: Column, by: list[str] | None = None) -> DataFrame:
-    """Least squares y = ca a + cb b without a constant, from five sums."""
+    """Least squares y = ca a + cb b without a constant, from five sums; null where a and b are in proportion."""
     s = df.groupBy(*(by or [])).agg(F.sum(a * a).alias("aa"), F.sum(b * b).alias("bb"), F.sum(a * b).alias("ab"), F.sum(a * y).alias("ay"), F.sum(b * y).alias("by"))
     det = F.col("aa") * F.col("bb") - F.col("ab") * F.col("ab")
-    return s.select(*(by or []), ((F.col("bb") * F.col("ay") - F.col("ab") * F.col("by")) / det).alias("ca"), ((F.col("aa") * F.col("by") - F.col("ab") * F.col("ay")) / det).alias("cb"))
+    return s.select(*(by or []), F.try_divide(F.col("bb") * F.col("ay") - F.col("ab") * F.col("by"), det).alias("ca"), F.try_divide(F.col("aa") * F.col("by") - F.col("ab") * F.col("ay"), det).alias("cb"))
 
 
 def histogram(df: DataFrame, v: str, low: float, high: float, n: int) -> DataFrame:
@@ -77,7 +78,7 @@ def prefix_sum(df: DataFrame, value: str, order: list[str], name: str) -> DataFr
 
 def credible_level(df: DataFrame, p: str) -> DataFrame:
     """1 less the cumulated share in ascending order of p, so the densest row gets 0."""
-    return prefix_sum(df, p, [p, "bin"], "_sum").withColumn("level", 1 - F.col("_sum") / F.col("_sum_total")).drop("_sum", "_sum_total")
+    return prefix_sum(df, p, [p, "bin"], "_sum").withColumn("level", 1 - F.try_divide(F.col("_sum"), F.col("_sum_total"))).drop("_sum", "_sum_total")
 
 
 def wide(long: DataFrame, key: list[str], name: str, value: str, names: list[str]) -> DataFrame:
@@ -138,7 +139,7 @@ def state_decomposition(profiles: DataFrame, probs: pd.DataFrame, npermutations:
 
 def log_correlation(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
     """Pearson correlation of log2 a and log2 b, rows with a zero left out."""
-    return df.where((F.col(a) > 0) & (F.col(b) > 0)).groupBy(by).agg(F.corr(F.log2(a), F.log2(b)).alias("corr"))
+    return df.where((F.col(a) > 0) & (F.col(b) > 0)).groupBy(by).agg(correlation(F.log2(a), F.log2(b)).alias("corr"))
 
 
 def null_correlations(profiles: DataFrame, states_fc: DataFrame, conditions: list[str], nrandom: int = 500, seed: int = 0) -> DataFrame:
@@ -150,4 +151,4 @@ def null_correlations(profiles: DataFrame, states_fc: DataFrame, conditions: lis
     total = sum((u(s) for s in states), F.lit(0.0))
     probs = draws.select("draw", "condition", F.explode(F.array(*[F.struct(F.lit(s).alias("state"), (u(s) / total).alias("p")) for s in states])).alias("k")).select("draw", "condition", "k.*")
     pred = probs.join(states_fc, "state").groupBy("draw", "condition", "gene").agg(F.sum(F.col("p") * F.col("fc")).alias("null_fc"))
-    return pred.join(profiles, ["condition", "gene"]).where("null_fc > 0 and fc > 0").groupBy("draw", "condition").agg(F.corr(F.log2("null_fc"), F.log2("fc")).alias("corr"))
+    return pred.join(profiles, ["condition", "gene"]).where("null_fc > 0 and fc > 0").groupBy("draw", "condition").agg(correlation(F.log2("null_fc"), F.log2("fc")).alias("corr"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from motrac.operators import boundary as B
 from motrac.operators import cells as C
 from motrac.operators import embed as E
+from motrac.operators import features as X
 from motrac.operators import library as Y
 from motrac.operators import lineage as L
 from motrac.operators import motion as M
@@ -16,7 +17,7 @@ from motrac.plans.numeric_queries import CLOUD_SQL, _cloud
 from motrac.plans.registry import r, registry
 from motrac.plans.stats_queries import DIST_SQL
 from motrac.sources import frames
-from motrac.sources.fixtures import OBS_SQL, PIXEL_SQL, features, observations, pixels
+from motrac.sources.fixtures import OBS_SQL, PIXEL_SQL, VOXEL_SQL, features, observations, pixels, voxels
 from motrac.sources.scratch import scratch_path
 
 QUERIES, SQL, query = registry()
@@ -165,6 +166,37 @@ def _properties(spark, sf_dir):
     return Y.library_properties(Y.boundary_library(cloud), [0, 1])
 
 
+VOXEL_NEAR = f"{VOXEL_SQL}, nb AS (SELECT p.frame, p.x, p.y, p.z, p.label, q.label AS other, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2 AS d2 FROM voxels p JOIN voxels q ON p.frame = q.frame AND q.x BETWEEN p.x - 2 AND p.x + 2 AND q.y BETWEEN p.y - 2 AND p.y + 2 AND q.z BETWEEN p.z - 2 AND p.z + 2 WHERE p.label > 0), bo AS (SELECT frame, x, y, z, label FROM nb WHERE d2 = 1 GROUP BY ALL HAVING count(*) < 6 OR bool_or(other <> label))"
+
+
+@query(f"""WITH {VOXEL_SQL}, b AS (SELECT frame, label, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1, min(z) AS z0, max(z) + 1 AS z1, count(*) AS n_pixels FROM voxels WHERE label > 0 GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY frame, label) - 1 AS cell_id, frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY label) - 1 AS INT) AS ind, label, x0, x1, y0, y1, z0, z1, n_pixels FROM b""")
+def stack_index(spark, sf_dir):
+    """Cells of stacks with their boxes."""
+    return C.cell_index(voxels(spark))
+
+
+@query(f"WITH {VOXEL_SQL} SELECT frame, label, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(2.5 * avg(z), 6) AS z FROM voxels WHERE label > 0 GROUP BY ALL")
+def stack_centers(spark, sf_dir):
+    return C.cell_centers(voxels(spark), zscale=2.5).select("frame", "label", *[r(a).alias(a) for a in "xyz"])
+
+
+@query(f"WITH {VOXEL_NEAR}, f AS (SELECT frame, x, y, z, label, bool_or(other = 0) AS free FROM nb WHERE d2 = 1 GROUP BY ALL) SELECT bo.*, CASE WHEN free THEN 'cs' ELSE 'cc' END AS kind FROM bo JOIN f USING (frame, x, y, z, label)")
+def stack_borders(spark, sf_dir):
+    return C.cc_cs_border(voxels(spark))
+
+
+@query(f"WITH {VOXEL_NEAR} SELECT nb.frame, nb.x, nb.y, nb.z, nb.label, min(other) AS contact FROM nb JOIN bo USING (frame, x, y, z, label) WHERE d2 BETWEEN 1 AND 4 AND other > 0 AND other <> label GROUP BY ALL")
+def stack_contacts(spark, sf_dir):
+    return C.contacts(voxels(spark), 2)
+
+
+@query(f"WITH {VOXEL_SQL} SELECT frame, label, CAST(count(*) AS DOUBLE) AS size, round(avg(c1), 6) AS mean, round(sum(c1), 6) AS total FROM voxels WHERE label > 0 GROUP BY ALL")
+def stack_features(spark, sf_dir):
+    f = X.cell_features(voxels(spark), "c1", ["size", "mean_intensity", "total_intensity"])
+    return f.select("frame", "label", F.col("xf")[0].alias("size"), r(F.col("xf")[1]).alias("mean"), r(F.col("xf")[2]).alias("total"))
+
+
 def library_properties(spark, sf_dir):
     """All properties of the cells' borders, wide."""
     p = _properties(spark, sf_dir)

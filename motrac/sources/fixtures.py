@@ -61,3 +61,21 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("x") * 7 + F.col("y") * 13 + F.col("frame") * 3) % 101).cast("double").alias("c1"),
         ((F.col("x") * F.col("x") + 3 * F.col("y") + F.col("frame") * 5) % 97).cast("double").alias("c2"),
     )
+
+
+#: Balls of the synthetic stacks: label, centre, radius, step of x per frame. The first two touch.
+BALLS = [(1, 5, 5, 4, 3, 1), (2, 11, 6, 4, 3, 0), (4, 8, 14, 3, 2, 0)]
+
+
+def _ball_sql() -> str:
+    return "CASE " + " ".join(f"WHEN (x - ({a} + {s} * frame)) * (x - ({a} + {s} * frame)) + (y - {b}) * (y - {b}) + (z - {c}) * (z - {c}) <= {r * r} THEN {k}" for k, a, b, c, r, s in BALLS) + " ELSE 0 END"
+
+
+VOXEL_SQL = f"""voxels AS (SELECT frame, x, y, z, {_ball_sql()} AS label, CAST((x * 5 + y * 3 + z * 7 + frame) % 31 AS DOUBLE) AS c1
+  FROM (SELECT CAST(a.range AS INT) AS frame, CAST(b.range AS INT) AS x, CAST(c.range AS INT) AS y, CAST(d.range AS INT) AS z FROM range(2) a, range(18) b, range(18) c, range(8) d))"""
+
+
+def voxels(spark: SparkSession) -> DataFrame:
+    """Two stacks of 18 by 18 by 8 labelled voxels with a channel."""
+    grid = spark.range(2 * 18 * 18 * 8).select(*[F.floor(F.col("id") / k % n).cast("int").alias(c) for c, k, n in (("frame", 2592, 2), ("x", 144, 18), ("y", 8, 18), ("z", 1, 8))])
+    return grid.select("frame", "x", "y", "z", F.expr(_ball_sql()).alias("label"), ((F.col("x") * 5 + F.col("y") * 3 + F.col("z") * 7 + F.col("frame")) % 31).cast("double").alias("c1"))
