@@ -69,7 +69,9 @@ class TrieEncoder:
         self.sound: dict[int, bool] = {}
         self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.words_before: dict[str, tuple[int, ...]] = {}
         self.chunks: dict[str, tuple[bytes, bytes, int]] = {}
+        self.chunks_before: dict[str, tuple[bytes, bytes, int]] = {}
         self.shown = {i: str(i).encode() for i in self.text}
         self.bytes = {i: t.encode("utf-8") for i, t in self.text.items()}
         self.max_entries = max_entries
@@ -188,12 +190,27 @@ class TrieEncoder:
         return [w if w.isascii() else "".join([letters[b] for b in w.encode("utf-8")]) for w in self.split.findall(lower)]
 
     def add_chunks(self, chunks: list[str]) -> None:
-        if len(self.chunks) + len(chunks) > self.max_entries:
-            self.chunks.clear()
-        if len(self.words) + len(chunks) > self.max_entries:
-            self.words.clear()
-        new = [(c, self.split_words(c)) for c in chunks if c not in self.chunks]
-        self.encode_words([*{w for _, ws in new for w in ws if isinstance(w, str) and w not in self.words}])
+        if len(self.chunks) + len(chunks) > self.max_entries // 2:
+            # What is met again moves to the new generation, the rest goes with the next change.
+            self.chunks, self.chunks_before = {}, self.chunks
+        if len(self.words) + len(chunks) > self.max_entries // 2:
+            self.words, self.words_before = {}, self.words
+        new, old, old_words = [], self.chunks_before, self.words_before
+        for c in chunks:
+            if c not in self.chunks:
+                got = old.get(c)
+                if got is None:
+                    new.append((c, self.split_words(c)))
+                else:
+                    self.chunks[c] = got
+        missing = []
+        for w in {w for _, ws in new for w in ws if isinstance(w, str) and w not in self.words}:
+            got = old_words.get(w)
+            if got is None:
+                missing.append(w)
+            else:
+                self.words[w] = got
+        self.encode_words(missing)
         for c, ws in new:
             ids = [i for w in ws for i in ((w,) if isinstance(w, int) else self.words[w])]
             self.chunks[c] = (b" ".join([self.shown[i] for i in ids]), b" ".join([self.bytes[i] for i in ids]), len(ids))
@@ -227,7 +244,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str | None = None, id_col: st
         enc = trie_encoder(path)
         for batch in batches:
             texts = batch.column("text")
-            for lo, hi in text_blocks(texts):
+            for lo, hi in text_blocks(texts, 8 << 20):
                 distinct, codes, offsets = chunk_codes(texts.slice(lo, hi - lo))
                 enc.add_chunks(distinct)
                 each = [enc.chunks[c] for c in distinct]
