@@ -25,6 +25,8 @@ PLAIN_LINES = re.compile(r"[\n!-~À-ÖØ-öø-ÿĀ-įĲ-ſ]*")
 WORDS = re.compile(r"[a-zß-öø-ſ]+|\n|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\[-`{-~]+")
 #: Stands for a line end among ids; no vocabulary is that large.
 LINE_END = 0xFFFFFFFF
+#: Bytes of text that are encoded together.
+BLOCK = 2 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -45,16 +47,17 @@ def byte_letters() -> list[str]:
 class ChunkEncoder:
     """Texts to unsigned 32-bit ids.
 
-    max_entries bounds the memory of remembered words and odd chunks; when it is
-    reached the memory is emptied and fills again, which changes no result.
+    max_entries bounds the memory of remembered words and odd chunks; words are
+    kept in two generations of half as many and what one block adds, which changes
+    no result.
     """
 
-    def __init__(self, path: str, max_entries: int = 250_000):
+    def __init__(self, path: str, max_entries: int = 200_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             raw = f.read()
-        self.spec = spec = json.loads(raw)
+        spec = json.loads(raw)
         split = json.dumps(spec.get("pre_tokenizer") or {})
         if '"Removed"' not in split or any(c.isspace() for t in spec["added_tokens"] for c in t["content"]):
             raise ValueError("chunk-wise encoding needs a tokenizer that drops white space")
@@ -68,6 +71,7 @@ class ChunkEncoder:
         self.letters = byte_letters()
         self.line_end = array("I", [LINE_END]).tobytes()
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.max_entries = max_entries
 
@@ -102,15 +106,19 @@ class ChunkEncoder:
             for i in odd:
                 plain[i] = ""
         found = WORDS.findall("\n".join(plain).lower())
-        new = set(found) - self.words.keys()
-        if len(self.words) + len(new) > self.max_entries:
-            self.words.clear()
-            new = set(found)
-        self.words["\n"] = self.line_end
-        new.discard("\n")
-        for w in new:
-            self.words[w] = self._word(w)
-        pool = np.frombuffer(b"".join(map(self.words.__getitem__, found)), np.uint32)
+        if len(self.words) > self.max_entries // 2:
+            # Words of the last generation that are met again stay; the others go with the next change.
+            self.words, self.before = {}, self.words
+        words = self.words
+        words["\n"] = self.line_end
+        each = list(map(words.get, found))
+        for i in [i for i, ids in enumerate(each) if ids is None]:
+            w = found[i]
+            ids = words.get(w)
+            if ids is None:
+                ids = words[w] = self.before.get(w) or self._word(w)
+            each[i] = ids
+        pool = np.frombuffer(b"".join(each), np.uint32)
         ends = np.append(np.flatnonzero(pool == LINE_END), len(pool))[: len(distinct)]
         starts = np.concatenate([[0], ends[:-1] + 1])[: len(distinct)]
         sizes = ends - starts
@@ -125,7 +133,7 @@ class ChunkEncoder:
 
     def encode_array(self, texts):
         """For an Arrow string array: (ids: uint32 array, ends: offsets of len(texts) + 1), block by block with the rows' range."""
-        for lo, hi in text_blocks(texts):
+        for lo, hi in text_blocks(texts, BLOCK):
             distinct, codes, offsets = chunk_codes(texts.slice(lo, hi - lo))
             pool, starts, sizes = self._distinct(distinct)
             n = sizes[codes]
@@ -139,7 +147,7 @@ class ChunkEncoder:
         return [int(i) for _, _, ids, _ in self.encode_array(pa.array([text], pa.string())) for i in ids]
 
 
-def encoder(path: str, max_entries: int = 250_000) -> ChunkEncoder:
+def encoder(path: str, max_entries: int = 200_000) -> ChunkEncoder:
     """The Python worker's encoder, kept from task to task."""
     return held(("encoder", path, max_entries), lambda: ChunkEncoder(path, max_entries))
 
