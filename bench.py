@@ -9,7 +9,8 @@ import time
 HEADLINE = [
     "transition_matrix", "traj_segments", "trajectory_steps", "traj_ab_segments", "lineage_mindist", "unique_trajectories", "msd", "tcf", "pair_rdf", "motility",
     "signal_contributions", "path_entropy", "committor", "predicted_fc", "knn_topk", "assign_nearest_center", "segment_concat", "mesh_average", "linear_coef",
-    "op2_embedding_near_dedup", "op4_quality_neighbours", "op5_simhash_near_dedup", "op6_trie_bpe", "op9_exact_dedup", "op10_license_scan",
+    "op1_best_fit_packing", "op2_embedding_near_dedup", "op3_token_planes", "op4_quality_neighbours", "op5_simhash_near_dedup", "op6_trie_bpe",
+    "op7_ordinal_toxicity", "op8_url_filter", "op9_exact_dedup", "op10_license_scan",
 ]
 
 
