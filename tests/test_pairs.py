@@ -33,3 +33,12 @@ def test_pairs_of_contact_motility_are_not_moved(spark, sf_dir):
     plan = catalog.queries()["contact_motility"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan and not any("other_id" in line for line in plan.split("\n") if "Exchange" in line)
     assert "other_id" not in plan
+
+
+def test_pairs_of_blocks_are_not_written(spark):
+    """Sides are written, their product is not; before, each pair of blocks was shuffled."""
+    p = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(40)], "cell_id long, xf array<double>")
+    plan = E.distance_rows(p, p, block=8)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan[: plan.index("CartesianProduct")]
+    near = E.knn(p, p, 3, itself=True, block=8).collect()
+    assert sorted((r["i"], r["rank"], r["j"]) for r in near) == [(i, k + 1, j) for i in range(40) for k, j in enumerate(sorted(range(40), key=lambda j: (abs(i - j), j))[:3])]
