@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from motrac.functions import scalar as S
@@ -145,14 +146,13 @@ metric_flux = _updated("metric_flux", lambda x, h, xi, lam, phi, v: Q.update_met
 
 
 def diffusion_map(spark, sf_dir):
-    """Three coordinates of each vector; the kernel keeps 25 neighbours a row, and its matrix is held by the driver."""
-    rows = E.diffusion_kernel(features(spark, sf_dir), 0.5, 25).collect()
-    ids = sorted({row["i"] for row in rows})
-    at, p = {c: k for k, c in enumerate(ids)}, np.zeros((len(ids), len(ids)))
-    for row in rows:
-        p[at[row["i"]], at[row["j"]]] = row["p"]
-    x = np.abs(E.diffusion_map(p, 3))
-    return spark.createDataFrame([(int(c), [round(float(v), 4) for v in x[k]]) for k, c in enumerate(ids)], "cell_id long, x array<double>")
+    """Three coordinates of each vector; the kernel keeps 25 neighbours a row, and these numbers alone reach the driver."""
+    rows = E.diffusion_kernel(features(spark, sf_dir), 0.5, 25).toArrow()
+    i, j, p = (rows.column(c).to_numpy() for c in "ijp")
+    ids = np.unique(i)
+    x = np.abs(E.sparse_diffusion_map(np.searchsorted(ids, i), np.searchsorted(ids, j), p, len(ids), 3))
+    table = pa.table({"cell_id": ids.astype(np.int64), "x": pa.array([[round(float(v), 4) for v in row] for row in x], pa.list_(pa.float64()))})
+    return spark.createDataFrame(table)
 
 
 @query(f"WITH {OBS_SQL}, st AS (SELECT state AS i, lead(state) OVER (PARTITION BY traj_id ORDER BY pos) AS j FROM obs) SELECT i, j, count(*) AS n FROM st WHERE j IS NOT NULL GROUP BY ALL")

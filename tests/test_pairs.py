@@ -42,3 +42,22 @@ def test_pairs_of_blocks_are_not_written(spark):
     assert "CartesianProduct" in plan and "Exchange" not in plan[: plan.index("CartesianProduct")]
     near = E.knn(p, p, 3, itself=True, block=8).collect()
     assert sorted((r["i"], r["rank"], r["j"]) for r in near) == [(i, k + 1, j) for i in range(40) for k, j in enumerate(sorted(range(40), key=lambda j: (abs(i - j), j))[:3])]
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_sparse_diffusion_map_equals_dense(parts, monkeypatch):
+    """Leading vectors from products alone, without the matrix; two parts that do not meet have the eigenvalue one twice."""
+    rng = np.random.default_rng(parts)
+    n, own = 1200, 1200 // parts
+    i = np.repeat(np.arange(n), 8)
+    j = i // own * own + (i % own + np.tile([0, 1, 2, 3, -1, -2, 40, 300], n)) % own
+    p = rng.random(len(i)) + 0.1
+    p /= np.bincount(i, p)[i]
+    dense = np.zeros((n, n))
+    np.add.at(dense, (i, j), p)
+    w, v = E._leading(lambda x: np.stack([np.bincount(i, p * c[j], n) for c in x.T], axis=1), n, 4)
+    assert np.allclose(dense @ v, v * w, atol=1e-8) and np.allclose(w.real, np.sort(np.linalg.eigvals(dense).real)[::-1][:4], atol=1e-8)
+    if parts == 1:
+        want = np.abs(E.diffusion_map(dense, 1))
+        monkeypatch.setattr(E, "diffusion_map", None)
+        assert np.allclose(np.abs(E.sparse_diffusion_map(i, j, p, n, 1)), want, atol=1e-6)
