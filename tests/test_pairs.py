@@ -67,3 +67,9 @@ def test_closeness_needs_no_transport(spark, sf_dir):
     """The columns asked for and no others are made: no cloud goes to Python; before, all were moved for closeness too."""
     assert "Cogroup" not in catalog.queries()["library_closeness"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().replace("CoGroup", "Cogroup")
     assert "Cogroup" in catalog.queries()["library_properties"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().replace("CoGroup", "Cogroup")
+
+
+def test_only_what_pairs_need_is_sent_to_nine_places(spark, sf_dir):
+    """Before, every column of both cells went along, and the windows under them ran once a side."""
+    plan = catalog.queries()["alpha_beta"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and not any(c in plan for c in ("traj_id", "parent_id", "state"))
