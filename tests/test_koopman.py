@@ -47,3 +47,41 @@ def test_operator_in_place_equals_dense(monkeypatch):
     got = koopman.koopman_operator(x[:-1], x[1:], m, h[:-1], 1e-2, x[:-1])
     for a, b in zip(got, want):
         assert np.abs(a - b).max() <= 1e-9 * np.abs(b).max()
+
+
+def test_leading_modes_equal_dense(sf_dir, monkeypatch):
+    """Leading eigenvalues, right vectors, eigenfunctions and modes from products and solutions in place."""
+    x = _vectors(sf_dir)
+    m = np.eye(x.shape[1])
+    h = koopman.kernel_sigmas(x, m, 0.5, vector=False)
+    want = koopman.leading_modes(x[:-1], x[1:], m, h, 5, 1e-2)
+    monkeypatch.setattr(koopman, "DENSE", 0)
+    lam, xi, phi, v = koopman.leading_modes(x[:-1], x[1:], m, h, 5, 1e-2)
+    order = [int(np.abs(lam - at).argmin()) for at in want[0]]
+    assert sorted(order) == list(range(5)) and np.allclose(lam[order], want[0], atol=1e-10)
+    for got, dense in ((xi, want[1]), (phi, want[2])):
+        assert np.allclose(np.abs(got[:, order]), np.abs(dense), atol=1e-8)
+    for turn in (np.conj, np.asarray):
+        assert np.allclose((phi * lam) @ turn(v).T, (want[2] * want[0]) @ turn(want[3]).T, atol=1e-8)
+
+
+@pytest.mark.parametrize("name", ["koopman_inference", "metric_flux", "metric_grad", "metric_jacobian", "metric_jacobian_log"])
+def test_models_are_made_on_an_executor(spark, sf_dir, name):
+    """Before, the driver held the matrices."""
+    got = catalog.queries()[name](spark, sf_dir)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.schema.simpleString() == ("struct<start:int,step:int,x:array<double>>" if name == "koopman_inference" else "struct<axis:int,m:array<double>>")
+    rows = got.count()
+    assert rows == (4 * (len(_vectors(sf_dir)) - 1) if name == "koopman_inference" else 64)
+
+
+def test_slopes_are_sums_by_blocks(monkeypatch):
+    """Blocks of rows of the kernel give what the whole of it gives, and no block is larger; before, the whole kernel was held."""
+    rng = np.random.default_rng(8)
+    x, coef, metric = rng.normal(size=(30, 3)), rng.normal(size=(30, 2)) + 1j * rng.normal(size=(30, 2)), rng.normal(size=(3, 3))
+    k = koopman.gaussian_kernel(x, x, np.eye(3), 0.7)
+    monkeypatch.setattr(koopman, "ROWS", 7)
+    got = list(koopman._slopes(x, koopman.kernel_rows(x, x, np.eye(3), 0.7), coef, metric))
+    assert [len(g) for g in got] == [7, 7, 7, 7, 2]
+    for n, g in enumerate(np.concatenate(got)):
+        assert np.allclose(g, ((x - x[n]) @ metric * k[n][:, None]).T @ coef)
