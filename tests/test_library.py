@@ -184,3 +184,28 @@ def test_foreground_order_of_sources(spark):
     px = spark.createDataFrame([(0, 0, 0, 1, 0.0, False), (0, 1, 0, 0, 5.0, True), (0, 2, 0, None, None, None)], "frame int, x int, y int, label int, c double, foreground boolean")
     on = lambda **kw: [r["fg"] for r in cells.foreground(px, **kw).orderBy("x").collect()]
     assert on(mask="label", channel="c", threshold=1.0) == [True, False, False] and on(channel="c", threshold=1.0) == [False, True, False] and on() == [False, True, False]
+
+
+def test_nearest_of_states_over_tiles(spark):
+    """Points on both sides of a tile's edge, within reach and not, each written to the tiles in reach only; before, to 27 places."""
+    rng = np.random.default_rng(6)
+    rows = [(f, int(i), int(i) % 3, [float(v) for v in rng.uniform(-20, 20, 3)]) for f in range(2) for i in rng.integers(0, 7, 60)]
+    rows += [(3, 1, 0, [16.0, 0.0, 0.0]), (3, 2, 1, [14.0, 0.0, 0.0]), (3, 3, 2, [18.0, 0.0, 0.0]), (3, 4, 2, [20.5, 0.0, 0.0])]
+    points = spark.createDataFrame(rows, "frame int, index long, state int, pt array<double>")
+    near = library.near_states(points, 2.0)
+    got = {(r["frame"], r["index"], tuple(r["pt"])): r["near"] for r in near.collect()}
+    want = {}
+    for a, b in itertools.product(rows, rows):
+        if a[0] == b[0] and a[1] != b[1] and (d := math.dist(a[3], b[3])) <= 2:
+            own = want.setdefault((a[0], a[1], tuple(a[3])), {})
+            own[b[2]] = min(d, own.get(b[2], 9))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and got[3, 1, (16.0, 0.0, 0.0)] == {1: 2.0, 2: 2.0}
+    assert "Join" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_library_is_gone_through_once(spark, sf_dir):
+    """Normals, both transports and the shape take one pass over the clouds each; before, there were several, and each border was found anew."""
+    from motrac.plans import catalog
+
+    plan = catalog.queries()["library_properties"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1 and plan.count("FlatMapGroupsInPandas") == 2 and "Window" not in plan
