@@ -9,7 +9,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from motrac.operators import boundary, cells, embed, library, lineage, motion, stats
+from motrac.plans import library_queries, registry
 from motrac.sources import frames
+from motrac.sources.scratch import scratch_path
 
 
 def _points(spark):
@@ -151,6 +153,53 @@ def test_distance_store_refuses_and_replaces_rows(spark, tmp_path):
     assert sorted(tuple(r) for r in embed.load_distances(spark, path).collect()) == [(0, 1, 5.0), (0, 600, 1.0), (1, 0, 5.0), (600, 0, 1.0)]
 
 
+def test_vector_store_equals_distance_store(spark, tmp_path):
+    """Rows replaced by other vectors, other columns, repeated and missing numbers, rows without a vector: all as if the distances themselves were stored."""
+    rng = np.random.default_rng(3)
+    points = lambda ids: spark.createDataFrame([(i, None if i % 17 == 5 else rng.normal(size=3).tolist()) for i in ids], "cell_id long, xf array<double>")
+    first, second = points([*range(40), 7, 2**40]), points([*range(20, 60), 7, -3])
+    numbers, vectors = f"file://{tmp_path}/d", f"file://{tmp_path}/v"
+
+    def both(a, b, **kw):
+        embed.store_distances(embed.distance_rows(a, b), numbers, **kw)
+        embed.store_points(a, b, vectors, **kw)
+
+    def same():
+        for symmetrize in (True, False):
+            want = sorted(tuple(r) for r in embed.load_distances(spark, numbers, symmetrize).collect())
+            got = sorted(tuple(r) for r in embed.load_points(spark, vectors, symmetrize, block=16).collect())
+            assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+    both(first.where("cell_id < 30"), first)
+    same()
+    for a, b in ((first.where("cell_id = 3"), first), (second.where("cell_id = 21"), second)):
+        with pytest.raises(ValueError):
+            embed.store_points(a, b, vectors)
+    both(first.where("cell_id >= 30"), first)
+    both(second.where("cell_id in (5, 22, 25, 39, 50) or cell_id < 10"), second, overwrite=True)
+    both(first.where("cell_id = 25"), second.limit(0), overwrite=True)
+    same()
+    assert {r["set"]: r["n"] for r in spark.read.parquet(f"{vectors}/columns").groupBy("set").agg(F.count("*").alias("n")).collect()} == {0: first.where("xf is not null").count(), 1: second.where("xf is not null").count()}
+
+
+def test_stored_distances_writes_no_square(spark, sf_dir, monkeypatch):
+    """Before, each distance was shuffled, written twice and shuffled again to meet its mirror."""
+    made = []
+    monkeypatch.setattr(library_queries, "scratch_path", lambda spark, tag: made.append(scratch_path(spark, tag)) or made[-1])
+    df = library_queries.stored_distances(spark, sf_dir)
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert sum(r["n"] for r in spark.read.option("recursiveFileLookup", True).parquet(made[0]).groupBy("cell_id").agg(F.count("*").alias("n")).collect()) == 2 * n + 50
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan[: plan.index("CartesianProduct")]
+    assert df.count() == n * n
+
+
+def test_plain_rounding_equals_rounding(spark):
+    values = [0.0, 1 / 128, 2.5, 0.4999995, 1.0000005, 123.4567895, 1e-7, 5e-7, 999999999.9999999, 1e9, 3.3e17, float("inf")]
+    got = spark.createDataFrame([(v,) for v in [*values, float("nan"), None]], "d double").select(registry.r("d"), registry.r_plain("d")).collect()
+    assert all(a == b or a != a and b != b for a, b in got)
+
+
 def test_tables_metadata_and_treatments(spark, tmp_path):
     df = spark.createDataFrame([(1, "a")], "k int, v string")
     path = f"file://{tmp_path}/t"
