@@ -73,3 +73,48 @@ def test_only_what_pairs_need_is_sent_to_nine_places(spark, sf_dir):
     """Before, every column of both cells went along, and the windows under them ran once a side."""
     plan = catalog.queries()["alpha_beta"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and not any(c in plan for c in ("traj_id", "parent_id", "state"))
+
+
+def _near(rows, rmax):
+    out = {}
+    for a in rows:
+        for b in rows:
+            if a["cell_id"] != b["cell_id"] and a["frame"] == b["frame"] and None not in (a["x"], a["y"], b["x"], b["y"]) and 0 < (d := np.hypot(a["x"] - b["x"], a["y"] - b["y"])) < rmax:
+                n, m = ((c["dx"] is not None and np.hypot(c["dx"], c["dy"])) or None for c in (a, b))
+                u, v = ([c["dx"] / k, c["dy"] / k] if k else None for c, k in ((a, n), (b, m)))
+                both = u and v
+                out[a["cell_id"], b["cell_id"]] = (a["frame"], d, both and ((u[0] - v[0]) * (a["x"] - b["x"]) + (u[1] - v[1]) * (a["y"] - b["y"])) / d, both and u[0] * v[0] + u[1] * v[1])
+    return out
+
+
+@pytest.mark.parametrize("own", [65536, 3])
+def test_tiles_miss_no_pair(spark, monkeypatch, own):
+    """Pairs within tiles and over their edges, once each, in tiles whole or in parts. Rows go to few tiles; before, each went to nine places."""
+    monkeypatch.setattr(M, "OWN", own)
+    monkeypatch.setattr(M, "STEP", 4)
+    monkeypatch.setattr(M, "OTHERS", 5)
+    m = _moving(spark, 150).withColumn("x", F.col("x") * 9 - 20).withColumn("y", F.col("y") * 3)
+    got = M.alignments(m, 4.0).collect()
+    want = _near(m.collect(), 4.0)
+    assert len(got) == len(want) > 100 and {(r["cell_id"], r["b_cell_id"]) for r in got} == set(want)
+    for g in got:
+        frame, *numbers = want[g["cell_id"], g["b_cell_id"]]
+        assert g["frame"] == frame
+        for a, b in zip((g["d"], g["alpha"], g["beta"]), numbers):
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-12))
+    placed = M._unit(m).where("x is not null and y is not null")
+    sent = M._sent(placed, 4.0)
+    assert sent.where("own").count() == placed.count() and (own == 3 or sent.count() < 2 * placed.count())
+
+
+def test_pairs_are_made_where_their_rows_are(spark, sf_dir):
+    plan = catalog.queries()["alpha_beta"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "SortMergeJoin" not in plan
+
+
+def test_signed_rounding_equals_plain(spark):
+    from motrac.plans.registry import r, r_signed
+
+    rows = [(v,) for v in (None, float("nan"), -0.0, 0.0, 1.2345678, -1.2345678, -1e-9, 2e9, -2e9, 0.1234565, -0.5)]
+    got = spark.createDataFrame(rows, "v double").select(r("v").alias("a"), r_signed("v").alias("b")).collect()
+    assert [str(g["a"]) for g in got] == [str(g["b"]) for g in got]
