@@ -85,3 +85,35 @@ def test_slopes_are_sums_by_blocks(monkeypatch):
     assert [len(g) for g in got] == [7, 7, 7, 7, 2]
     for n, g in enumerate(np.concatenate(got)):
         assert np.allclose(g, ((x - x[n]) @ metric * k[n][:, None]).T @ coef)
+
+
+def test_leading_modes_need_no_full_decomposition(sf_dir, monkeypatch):
+    """Leading modes come from a power of K, on several threads; before, all eigenvalues were found."""
+    x = _vectors(sf_dir)
+    m = np.eye(x.shape[1])
+    h = koopman.kernel_sigmas(x, m, 0.5, vector=False)
+    want = koopman.leading_modes(x[:-1], x[1:], m, h, 5, 1e-2)
+    monkeypatch.setattr(koopman, "DENSE", 0)
+    found, every = [], koopman._leading_values
+    monkeypatch.setattr(koopman, "_leading_values", lambda *a: found.append(every(*a)) or found[-1])
+    monkeypatch.setattr(koopman, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"cpus": lambda self: 3})())}))
+    lam, _, phi, v = koopman.leading_modes(x[:-1], x[1:], m, h, 5, 1e-2)
+    assert found[0] is not None and np.allclose(sorted(lam, key=lambda z: (z.real, z.imag)), sorted(want[0], key=lambda z: (z.real, z.imag)), atol=1e-10)
+    assert np.allclose((phi * lam) @ v.conj().T, (want[2] * want[0]) @ want[3].conj().T, atol=1e-6)
+    monkeypatch.setattr(koopman, "BASIS", 7)  # too few columns: the full way
+    lam, _, phi, v = koopman.leading_modes(x[:-1], x[1:], m, h, 5, 1e-2)
+    assert found[1] is None and np.allclose((phi * lam) @ v.conj().T, (want[2] * want[0]) @ want[3].conj().T, atol=1e-6)
+
+
+def test_model_has_a_whole_executor(spark):
+    """One task works, so it takes the other slots of its executor too; where profiles are not to be had there is none."""
+    from types import SimpleNamespace
+
+    from pyspark import SparkConf
+
+    from motrac.plans.numeric_queries import _whole_executor
+
+    assert _whole_executor(spark) is None
+    at = lambda master, **conf: _whole_executor(SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: SparkConf(False).setAll([(k.replace("_", "."), v) for k, v in conf.items()]))))
+    assert at("spark://a:7077", spark_executor_cores="4").taskResources["cpus"].amount == 4
+    assert at("local-cluster[3,2,100]").taskResources["cpus"].amount == 2 and at("spark://a:7077") is None
